@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, sharding, url_filters
 
 QUERIES = {
+    "op2_sharding": sharding.op2_sharding,
+    "op3_url_filters": url_filters.op3_url_filters,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLES = {
+    "op3_url_filters": url_filters.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
