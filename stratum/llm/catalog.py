@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding, url_filters
+from . import packing, pii, quality_rules, sharding, url_filters
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_url_filters": url_filters.op3_url_filters,
+    "op7_packing": packing.op7_packing,
+    "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
