@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality_rules, sharding, url_filters
+from . import html_extraction, packing, pii, quality_rules, sharding, url_filters
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_url_filters": url_filters.op3_url_filters,
+    "op6_html_extraction": html_extraction.op6_html_extraction,
     "op7_packing": packing.op7_packing,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality_rules.op10_quality_rules,
