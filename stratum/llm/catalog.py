@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_extraction, packing, pii, quality_rules, sharding, url_filters, warc
+from . import html_extraction, jaccard_join, packing, pii, quality_rules, sharding, url_filters, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_url_filters": url_filters.op3_url_filters,
+    "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
     "op5_warc": warc.op5_warc,
     "op6_html_extraction": html_extraction.op6_html_extraction,
     "op7_packing": packing.op7_packing,
