@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extraction, jaccard_join, packing, pii, quality_rules, sharding, url_filters, warc
+from . import decontamination, html_extraction, jaccard_join, packing, pii, quality_rules, sharding, url_filters, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_html_extraction": html_extraction.op6_html_extraction,
     "op7_packing": packing.op7_packing,
+    "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
