@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, jaccard_join, packing, pii, quality_rules, sharding, url_filters, warc
+from . import decontamination, html_extraction, jaccard_join, license_scan, packing, pii, quality_rules, sharding, url_filters, warc
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_sharding": sharding.op2_sharding,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
