@@ -170,10 +170,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def text_of(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        *[count(k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(text_of(base), 256).alias("base_sha256"),
         text_of(F.col("spans")).alias("spans"),
     )
