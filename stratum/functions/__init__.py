@@ -1 +1 @@
-
+"""Column functions: digests and compatibility helpers."""

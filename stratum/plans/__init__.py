@@ -1 +1 @@
-
+"""Operation plans: their text, shape and meaning."""

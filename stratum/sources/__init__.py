@@ -1 +1 @@
-
+"""Storage of tables, log and snapshots."""
