@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .shared import table
+from .shared import materialize, table
 from .url_filters import split_url
 
 #: Elements whose whole content is no text of the page.
@@ -238,7 +238,8 @@ def extract_pages(pages: DataFrame, url: str = "url", source: str = "html", key:
     """``key``, ``url`` and the main ``text`` of every page."""
     host, _ = split_url(F.col(url))
     own = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"), host.alias("host"))
-    joined = own.join(winning_paths(vote(pages, url, source)), "host", "left").select("page_id", "url", "html", "winners")
+    winners = materialize(winning_paths(vote(pages, url, source)), "winning-paths")  # its size is known from here on: a small table is broadcast, a large one shuffled
+    joined = own.join(winners, "host", "left").select("page_id", "url", "html", "winners")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
