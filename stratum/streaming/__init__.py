@@ -1 +1 @@
-
+"""The change feed as a stream, and windows over events."""
