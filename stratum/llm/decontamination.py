@@ -12,7 +12,8 @@ each block is held against all documents.
 
 Defined results: words are ASCII-lower-cased; null and empty texts and items match nothing; an item of
 fewer words than a seed has no seed and matches nothing; of an item with several null or equal ids each
-row is an item of its own; repeated documents are each reported; an empty table gives an empty table;
+row is an item of its own; repeated documents are each reported; documents without a doc_id are
+reported with a null and stay in ``drop_leaks``; an empty table gives an empty table;
 extra columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 

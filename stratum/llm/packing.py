@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import table
 
@@ -186,7 +187,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capaci
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    return docs.select("doc_id", text).mapInArrow(run, FIELDS)
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, FIELDS)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import table
 
@@ -144,7 +145,7 @@ def find_documents(docs: DataFrame, text: str = "text") -> DataFrame:
                 spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t or "")] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def mask_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -163,8 +164,6 @@ def mask_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = find_documents(table(spark, sf_dir, "documents"))
 
     def text_of(spans):
