@@ -101,9 +101,8 @@ def count_repeat_words(words: Column) -> Column:
     return let(words, from_words)
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Contract figures of one text, each from the text alone."""
-    words = words_of(text)
+def statistics(text: Column, words: Column) -> dict[str, Column]:
+    """Figures of one text; ``words`` are its words, at hand as a column."""
     return {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
@@ -157,13 +156,7 @@ def cascade(rules: Sequence[Rule]) -> Column:
 
 def score_documents(df: DataFrame, text: str = "text", ordered: bool = True) -> DataFrame:
     """``df`` with the figures, ``base_failed`` and ``kept``; for reports that need every figure."""
-    figures = statistics(F.col(text))
-    words = F.col("__words")
-    figures |= {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "n_repeat_words": count_repeat_words(words),
-    }
+    figures = statistics(F.col(text), F.col("__words"))
     wide = df.drop(*[c for c in (*figures, "base_failed", "kept") if c != text]).withColumn("__words", words_of(F.col(text)))
     wide = wide.withColumns(figures).drop("__words")
     held = {k: F.col(k) for k in figures}
@@ -176,8 +169,17 @@ def score_documents(df: DataFrame, text: str = "text", ordered: bool = True) ->
 
 def filter_documents(df: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows of ``df`` that no rule rejects, the rules evaluated lazily in cascade order."""
-    rules = plan_cascade(df, default_rules(statistics(F.col(text))), sample_rows)
-    return df.filter(~cascade(rules))
+    words = words_of(F.col(text))
+
+    def rules(w: Column) -> list[Rule]:
+        return default_rules(statistics(F.col(text), w))
+
+    def alone(name: str) -> Rule:
+        return Rule(name, let(words, lambda w: next(r.rejects for r in rules(w) if r.name == name)))
+
+    order = [r.name for r in plan_cascade(df, [alone(r.name) for r in rules(words)], sample_rows)]
+    # words are bound once; a column of their own would be computed again in each rule when the filter is pushed down
+    return df.filter(~let(words, lambda w: cascade(sorted(rules(w), key=lambda r: order.index(r.name)))))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
