@@ -11,9 +11,12 @@ found without ever writing out the pairs of a group:
 * Large sets use prefix lists: in one global order of shingles, linked sets share one of the first
   ``n - ceil(p/q * n) + 1``.  The order is by counts in a fixed-size sketch over all documents, then by
   hash, so frequent passages come last.  Lists with one member go; the rest are gathered in *cells* by
-  their least member; a cell with more than CELL_SETS sets or CELL_ITEMS shingles is dealt out as pairs
-  of blocks.  In a cell inverted lists count every overlap exactly and a local union-find keeps a
-  spanning forest, so a cell gives fewer links than it has sets.
+  their least member.  In a cell each set first shows its size and a parity sketch: bit i says whether
+  it has an odd number of shingles in bucket i, so two sketches differ in no more bits than their sets
+  have differences, and pairs that differ in too many are ruled out for certain.  What is left is dealt
+  out by candidate component, with texts, and there inverted lists count every overlap exactly; a local
+  union-find keeps a spanning forest, so a cell gives fewer links than it has sets.  A cell with more
+  than CELL_SETS sets or CELL_ITEMS shingles is dealt out as pairs of blocks.
 * ``boundary`` minimises the estimated cost over the histogram of set sizes.
 * Connected components by alternating large-star and small-star steps, each written to the shared folder.
 
@@ -21,7 +24,7 @@ Every set above the boundary, and every set that could link with one, is scanned
 
 Defined results: without words or text a set is empty and links with nothing (its component is its own
 doc_id); texts of fewer words than a shingle are one shingle; repeated rows share a class and a result;
-a null doc_id is passed over as the smallest id of its component; an empty table gives an empty table;
+a null doc_id is passed over as the smallest id of its component, and ``keep_one`` keeps such rows; an empty table gives an empty table;
 extra columns are ignored by ``link_documents`` and kept by ``keep_one``.
 """
 
@@ -37,13 +40,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import discard, materialize, release, table
 from .shingles import batches_of, mix, shingle_runs
 
 #: Counters of the sketch, and blocks in which it travels.
 SKETCH, SKETCH_BLOCKS = 1 << 20, 16
 #: Sets and shingles that one cell holds at most before it is dealt out as pairs of blocks.
 CELL_SETS, CELL_ITEMS = 1024, 2_000_000
+PARITY_BITS = 1024
+#: Bits of the filters that keep documents of no cell, and shingles of one prefix alone, out of shuffles.
+BITMAP, ITEM_BITMAP = 1 << 25, 1 << 27
+#: Cells of so many sets are never dealt out, whatever the sets' sizes.
+SMALL_CELL = 16
 #: Sizes for which the enumeration of subsets is considered.
 LARGEST_BOUNDARY = 24
 #: Relative costs: a subset or list row; a scanned set, and each of its shingles, on its way to a cell.
@@ -123,6 +131,17 @@ def class_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[byt
     return m1, m2, [int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big") for a, b in zip(h1, h2, strict=True)]
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """One bit for each of PARITY_BITS buckets: is its number of shingles odd?"""
+    counts = np.bincount((hashes >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def nameless(key: bytes) -> int:
+    """A negative stand-in for the missing doc_id of a class."""
+    return -1 - (int.from_bytes(key[:8], "big") >> 2)
+
+
 def subset_keys(h: bytes, m1: np.ndarray, m2: np.ndarray, most: int) -> list[bytes]:
     """Keys of the subsets that leave out up to ``most`` shingles."""
     h1, h2, n, top = int.from_bytes(h[:8], "big"), int.from_bytes(h[8:], "big"), len(m1), (1 << 64) - 1
@@ -147,24 +166,28 @@ def _signatures(docs: DataFrame, k: int, p: int, q: int, sketch, boundary: int,
                 for a, b in batches_of(texts):
                     sets = [np.unique(r) for r in shingle_runs(texts[a:b], k)]
                     m1, m2, keys = class_keys(sets)
-                    prefixes, subsets, first = [], [], 0
+                    prefixes, subsets, sketches, first = [], [], [], 0
                     for s, h in zip(sets, keys, strict=True):
                         n = len(s)
                         if n >= max(1, least):
                             rank = (counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20))
                             length = prefix_length(n, p, q)
                             prefixes.append(s[np.argpartition(rank, length - 1)[:length]].view(np.int64))
+                            sketches.append(parity(m1[first : first + n]))
                         else:
                             prefixes.append(None)
+                            sketches.append(None)
                         subsets.append(subset_keys(h, m1[first : first + n], m2[first : first + n], deletions(n, p, q)) if 0 < n <= boundary else None)
                         first += n
+                    ids = part.column(0).slice(a, b - a)
+                    stand = [nameless(h) if i is None else i for i, h in zip(ids.to_pylist(), keys, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                         pa.array(prefixes, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.binary()))],
-                        ["doc_id", "cls", "n", "prefix", "subsets"],
+                        [ids, pa.array(stand, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                         pa.array(prefixes, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.binary())), pa.array(sketches, pa.binary())],
+                        ["doc_id", "doc", "cls", "n", "prefix", "subsets", "parity"],
                     )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(sign, "doc_id long, cls binary, n long, prefix array<long>, subsets array<binary>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(sign, "doc_id long, doc long, cls binary, n long, prefix array<long>, subsets array<binary>, parity binary")
 
 
 def _light_links(classes: DataFrame, p: int, q: int) -> DataFrame:
@@ -176,21 +199,115 @@ def _light_links(classes: DataFrame, p: int, q: int) -> DataFrame:
     return met.select(F.col("cls").alias("u"), F.col("least.cls").alias("v"))
 
 
-def _cells(classes: DataFrame) -> DataFrame:
-    """(cls, cell, side): the cells that a class goes to; side is its block where the cell is a pair of blocks."""
-    rows = classes.filter("prefix is not null").select("cls", "n", F.explode("prefix").alias("item"))
-    shared = rows.groupBy("item").agg(F.min("cls").alias("pivot"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    members = rows.join(shared, "item").groupBy("pivot", "cls").agg(F.first("n").alias("n"))
-    members = materialize(members, "jaccard-members")
-    sizes = members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
+def _deal(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc, pivot, part, side): ``members`` (pivot, doc) with large cells as pairs of blocks.
+
+    A cell is (pivot, part); side is the class's block where the cell is a pair of blocks, else -1.
+    """
+    many = members.groupBy("pivot").agg(F.count("*").alias("c")).filter(F.col("c") > SMALL_CELL)
+    heavy = members.join(many, "pivot").join(classes.select("doc", "n"), "doc").groupBy("pivot").agg(F.max("c").alias("c"), F.sum("n").alias("items"))
     blocks = F.greatest(F.ceil(F.col("c") / CELL_SETS), F.ceil(F.col("items") / CELL_ITEMS)).cast("int")
-    large = sizes.select("pivot", blocks.alias("blocks")).filter("blocks > 1")
+    large = heavy.select("pivot", blocks.alias("blocks")).filter("blocks > 1")
     dealt = members.join(large, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    cell = F.concat("pivot", F.encode(F.format_string("%d-%d", low, high), "UTF-8"))
-    return dealt.select("cls", cell.alias("cell"), F.when(low != high, F.col("block")).otherwise(-1).alias("side"))
+    return dealt.select("doc", "pivot", (low.cast("long") * F.col("blocks") + high).alias("part"), F.when(low != high, F.col("block")).otherwise(-1).alias("side"))
+
+
+def groups_of(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that follow one another with the same first two fields."""
+    held: list[tuple] = []
+    for row in rows:
+        if held and held[0][:2] != row[:2]:
+            yield held[0][:2], held
+            held = []
+        held.append(row)
+    if held:
+        yield held[0][:2], held
+
+
+def candidate_roots(sizes: list[int], sketches: list[bytes], sides: list[int], p: int, q: int) -> list[int]:
+    """For each set the least set of its component under pairs that size and parity don't rule out."""
+    m = len(sizes)
+    parent = list(range(m))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+
+    if m <= 24:
+        bits = [int.from_bytes(x, "big") for x in sketches]
+        for i in range(m):
+            for j in range(i):
+                a, b = sizes[i], sizes[j]
+                if q * min(a, b) >= p * max(a, b) and (bits[i] ^ bits[j]).bit_count() * (p + q) <= (a + b) * (q - p) and (sides[i] < 0 or sides[i] != sides[j]):
+                    join(i, j)
+    else:
+        words = np.frombuffer(b"".join(sketches), np.uint64).reshape(m, -1)
+        n, side = np.array(sizes), np.array(sides)
+        for i in range(1, m):
+            differ = np.bitwise_count(words[:i] ^ words[i]).sum(axis=1, dtype=np.int64)
+            ok = (differ * (p + q) <= (n[:i] + n[i]) * (q - p)) & (q * np.minimum(n[:i], n[i]) >= p * np.maximum(n[:i], n[i]))
+            if sides[i] >= 0:
+                ok &= side[:i] != side[i]
+            for j in np.flatnonzero(ok).tolist():
+                join(i, j)
+    return [find(i) for i in range(m)]
+
+
+def _candidates(classes: DataFrame, p: int, q: int) -> DataFrame:
+    """(pivot, doc): classes with some partner that nothing rules out, by candidate component."""
+    spark = classes.sparkSession
+    prefixes = classes.filter("prefix is not null")
+    items = prefixes.select(F.explode("prefix").alias("item")).groupBy("item").agg(F.count("*").alias("c")).filter("c > 1").select("item")
+    shared = materialize(items, "jaccard-items")
+    release(spark)
+    bits = spark.sparkContext.broadcast(_bitmap(shared, ITEM_BITMAP))  # ITEM_BITMAP bits, whatever the input
+    discard(shared)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc, item) of items that may stand in more than one prefix."""
+        held = bits.value
+        for batch in batches:
+            lists = batch.column(1)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            word, bit = bitmap_places(values, ITEM_BITMAP)
+            keep = (held[word] & bit) != 0
+            yield pa.RecordBatch.from_arrays([pa.array(docs[keep]), pa.array(values[keep])], ["doc", "item"])
+
+    rows = prefixes.select("doc", "prefix").mapInArrow(thin, "doc long, item long")
+    pivots = rows.groupBy("item").agg(F.min("doc").alias("pivot"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    members = materialize(rows.join(pivots, "item").select("pivot", "doc").distinct(), "jaccard-members")
+    release(spark)
+    dealt = _deal(members, classes).join(classes.select("doc", "n", "parity"), "doc").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "doc")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: list[tuple[int, int]] = []
+        for _, held in groups_of(rows):
+            docs = [r[2] for r in held]
+            roots = candidate_roots([r[3] for r in held], [r[4] for r in held], [r[5] for r in held], p, q)
+            used = {r for i, r in enumerate(roots) if r != i}
+            out += [(docs[r], docs[i]) for i, r in enumerate(roots) if r in used]
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["pivot", "doc"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["pivot", "doc"])
+
+    found = dealt.select("pivot", "part", "doc", "n", "parity", "side").mapInArrow(sift, "pivot long, doc long").distinct()
+    found = materialize(found, "jaccard-candidates")
+    discard(members)
+    release(spark)
+    return found
 
 
 def forest(sets: list[np.ndarray], sides: list[int], p: int, q: int) -> list[tuple[int, int]]:
@@ -236,54 +353,84 @@ def forest(sets: list[np.ndarray], sides: list[int], p: int, q: int) -> list[tup
     return out
 
 
-def _heavy_links(docs: DataFrame, classes: DataFrame, k: int, p: int, q: int, text: str) -> DataFrame:
-    cells = materialize(_cells(classes), "jaccard-cells")
-    wanted = classes.join(cells.select("cls").distinct(), "cls", "left_semi").select("doc_id").filter("doc_id is not null").distinct()
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    some = some.filter("doc_id is not null").join(wanted, "doc_id", "left_semi").select("text").unionAll(some.filter("doc_id is null").select("text"))
+def bitmap_places(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of each 64-bit value in a bitmap of ``size`` bits."""
+    h = mix(values.view(np.uint64), 31) & np.uint64(size - 1)
+    return (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63))
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bitmap(values: DataFrame, size: int) -> np.ndarray:
+    """One bit for the hash of each of ``values``: what isn't set is not among them.  Joins that follow are exact; this spares them rows."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                texts = batch.column(0).slice(at, 1024).to_pylist()
-                for a, b in batches_of(texts):
-                    sets = [np.unique(r) for r in shingle_runs(texts[a:b], k)]
-                    yield pa.RecordBatch.from_arrays([pa.array(class_keys(sets)[2], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "items"])
+            word, bit = bitmap_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], ["word", "bit"])
+
+    rows = values.mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # size / 64 rows at most
+    out = np.zeros(size >> 6, np.uint64)
+    out[rows.column(0).to_numpy().astype(np.int64)] = rows.column(1).to_numpy().astype(np.int64).view(np.uint64)
+    return out
 
-    sets = some.mapInArrow(sets_of, "cls binary, items binary").groupBy("cls").agg(F.first("items").alias("items"))
-    dealt = sets.join(cells, "cls").repartition("cell").sortWithinPartitions("cell", "cls")
+
+def _heavy_links(docs: DataFrame, classes: DataFrame, k: int, p: int, q: int, text: str) -> DataFrame:
+    cells = materialize(_deal(_candidates(classes, p, q), classes), "jaccard-cells")
+    release(docs.sparkSession)
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(cells.select("doc"), BITMAP))  # BITMAP bits, whatever the input
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents that may be in a cell; those without an id get their stand-in."""
+        held = bits.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            missing = np.flatnonzero(batch.column(0).is_null().to_numpy(zero_copy_only=False))
+            if len(missing):
+                keys = [class_keys([np.unique(r) for r in shingle_runs([batch.column(1)[i].as_py()], k)])[2][0] for i in missing.tolist()]
+                ids = np.where(np.isin(np.arange(len(ids)), missing), 0, ids).astype(np.int64)
+                ids[missing] = [nameless(h) for h in keys]
+            ids = ids.astype(np.int64)
+            word, bit = bitmap_places(ids, BITMAP)
+            keep = pa.array((held[word] & bit) != 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids).filter(keep), batch.column(1).filter(keep)], ["doc", "text"])
+
+    named = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(pick, "doc long, text string")
+    # texts travel, not sets: compressed they are less than half as large
+    dealt = named.join(cells, "doc").repartition("pivot", "part").sortWithinPartitions("pivot", "part")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    yield from zip(*(part.column(c).to_pylist() for c in ("cell", "cls", "items", "side")), strict=True)
+                    sets = [np.unique(r) for r in shingle_runs(part.column(2).to_pylist(), k)]
+                    yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), class_keys(sets)[2], sets, part.column(3).to_pylist(), strict=True)
 
-        def links(held: list[tuple]) -> list[tuple[bytes, bytes]]:
+        def links(held: dict[bytes, tuple]) -> list[tuple[bytes, bytes]]:
             if len(held) < 2:
                 return []
-            found = forest([np.frombuffer(r[2], np.uint64) for r in held], [r[3] for r in held], p, q)
-            return [(max(held[i][1], held[j][1]), min(held[i][1], held[j][1])) for i, j in found]
+            keys, values = list(held), list(held.values())
+            found = forest([v[0] for v in values], [v[1] for v in values], p, q)
+            return [(max(keys[i], keys[j]), min(keys[i], keys[j])) for i, j in found]
 
-        out, held = [], []
-        for row in rows():
-            if held and held[0][0] != row[0]:
+        out, held, cell = [], {}, None
+        for pivot, part, key, items, side in rows():
+            if (pivot, part) != cell:
                 out += links(held)
-                held = []
+                held, cell = {}, (pivot, part)
                 if len(out) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["u", "v"])
                     out = []
-            held.append(row)
+            held.setdefault(key, (items, side))  # rows that repeat a document add nothing
         out += links(held)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["u", "v"])
 
-    return dealt.select("cell", "cls", "items", "side").mapInArrow(scan, "u binary, v binary")
+    return dealt.select("pivot", "part", "text", "side").mapInArrow(scan, "u binary, v binary")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (u, v); root is the least node of its component."""
+    # links are made once, here
     stars = materialize(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     seen = None
     while True:
@@ -292,7 +439,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        stars = materialize(small.filter("u != v").distinct(), "stars")
+        last, stars = stars, materialize(small.filter("u != v").distinct(), "stars")
+        discard(last)
         now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == seen:
             break
@@ -307,8 +455,9 @@ def link_documents(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, text: st
     boundary = choose_boundary(sizes, p, q)
     sketch = spark.sparkContext.broadcast(counts)  # SKETCH counters of 4 bytes, whatever the input
     signed = materialize(_signatures(docs, k, p, q, sketch, boundary, text), "jaccard-signed")
-    classes = signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"))
+    classes = signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("doc")).alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"), F.first("parity").alias("parity"))
     classes = materialize(classes, "jaccard-classes")
+    release(spark)
     roots = components(_light_links(classes, p, q).unionAll(_heavy_links(docs, classes, k, p, q, text)))
     named = classes.select("cls", "doc_id").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     named = named.groupBy("root").agg(F.min("doc_id").alias("component_id")).join(named.select("cls", "root"), "root").select("cls", "component_id")
