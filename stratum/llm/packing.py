@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import give_back, table
 
 CAPACITY = 4096
 BLOCK_TOKENS = 256 * CAPACITY
@@ -166,6 +166,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capaci
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encode, close = encoder(tokenizer), closing_id.to_bytes(4, "little")
         number = TaskContext.get().partitionId() << 40
 

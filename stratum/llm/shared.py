@@ -7,10 +7,12 @@ absent (tests, local mode) a fresh temporary folder takes its place.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,14 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def give_back() -> None:
+    """Return what a reused Python worker has freed to the system, before a step that needs room of its own."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once inside an expression, so that ``body`` may use it repeatedly without re-evaluation."""
     return F.element_at(F.transform(F.array(value), body), 1)
