@@ -1,24 +1,26 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment.
 
-Pass one counts, over all documents, in how many each n-gram of the benchmark occurs.  The rarer half of
-each item's n-grams become its seeds, so an item always has seeds, however often it was copied.  Pass two
-finds seeds in the documents; every hit opens a window of the document around the place where the item
-would lie, hits on neighbouring diagonals share one, and Smith-Waterman aligns the item's words with the
-window's.  A document is reported with an item where the best alignment reaches ``threshold`` of the
-item's own score.
+Pass one counts, over all documents, how often each word of the benchmark occurs.  An alignment that reaches
+``threshold`` of an item's own score matches a least number of the item's words, so it can pass by only so
+many of them: of the rarest words, a few more than that, at least ``need`` are matched, all within a stretch
+of ``reach`` words of the document.  These rarest words are the item's seeds.  Pass two finds the stretches
+that hold enough seeds, joins those that overlap, and Smith-Waterman aligns the item's words with each.  A
+document is reported with an item where the best alignment reaches the threshold; the seeds only spare
+work, so the result is that of aligning every item with every whole document.
 
 The benchmark is a stated query set: it is taken in blocks of BLOCK_BYTES, each held by every task, and
 each block is held against all documents.
 
-Defined results: words are ASCII-lower-cased; null and empty texts and items match nothing; an item of
-fewer words than a seed has no seed and matches nothing; of an item with several null or equal ids each
-row is an item of its own; repeated documents are each reported; documents without a doc_id are
-reported with a null and stay in ``drop_leaks``; an empty table gives an empty table;
+Defined results: words are compared without regard to case, by Unicode's case folding; null and empty texts
+and items match nothing; an item of fewer than SEED_WORDS words matches nothing; of an item with several
+null or equal ids each row is an item of its own; repeated documents are each reported; documents without a
+doc_id are reported with a null and stay in ``drop_leaks``; an empty table gives an empty table;
 extra columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize, table
-from .shingles import batches_of, fold, hash_words
+from .shingles import batches_of, hash_words
 
 SEED_WORDS = 3
 #: Benchmark text that one pass holds in each task.
@@ -36,50 +38,62 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Cells of one alignment row, over all windows that are aligned together.
 ALIGN_CELLS = 1 << 16
+#: One in so many of the words that an alignment must match is asked for among the seeds.
+NEED_SHARE = 4
+#: Seeds found that are looked through together, in whole documents.
+HITS = 1 << 20
 LEAK = "doc_id long, item_id long, score double, start_word long, end_word long"
 
 
+def folded_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``hash_words`` of the texts without regard to case."""
+    return hash_words([t and t.casefold() for t in texts])
+
+
 class Items:
-    """A block of benchmark items: words, n-grams, and after counting the seeds."""
+    """A block of benchmark items: words, the items of each word, and after counting those it is a seed of."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]], n: int):
-        self.n, self.ids = n, [r[0] for r in rows]
-        words, ends = hash_words([r[1] for r in rows])
+        self.ids = [r[0] for r in rows]
+        words, ends = folded_words([r[1] for r in rows])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(rows) else ends
         self.words = [words[a:b] for a, b in zip(starts, ends, strict=True)]
-        grams = [fold(w, n) for w in self.words]
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])
-        flat = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        by = np.argsort(flat, kind="stable")
-        self.grams = np.unique(flat)
-        self.owner, self.place = owner[by], place[by]
-        self.first = np.searchsorted(flat[by], self.grams, "left")
-        self.last = np.searchsorted(flat[by], self.grams, "right")
-        self.use = np.ones(len(self.grams), bool)
-        self._mask()
-
-    def _mask(self) -> None:
+        self.long = [k for k, w in enumerate(self.words) if len(w) >= n]
+        self.grams, flat = np.unique(np.concatenate([*(self.words[k] for k in self.long), np.zeros(0, np.uint64)]), return_inverse=True)
+        self.places = np.split(flat, np.cumsum([len(self.words[k]) for k in self.long])[:-1]) if self.long else []
+        self._file(self.places)
+
+    def _file(self, seeds: list[np.ndarray]) -> None:
+        """File the items under their words in ``seeds``."""
+        owner = np.repeat(np.array(self.long, np.int64), [len(s) for s in seeds])
+        pairs = np.unique(np.stack([np.concatenate([*seeds, np.zeros(0, np.int64)]), owner]).astype(np.int64), axis=1)
+        self.owner = pairs[1]
+        self.first, self.last = (np.searchsorted(pairs[0], np.arange(len(self.grams)), side) for side in ("left", "right"))
         self.mask = np.zeros(1 << 20, bool)
-        self.mask[(self.grams[self.use] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def choose_seeds(self, counts: np.ndarray) -> None:
-        """Of each item the rarer half of its distinct n-grams."""
-        self.use = np.zeros(len(self.grams), bool)
-        gram_of = np.repeat(np.arange(len(self.grams)), self.last - self.first)
-        for k in np.unique(self.owner):
-            own = np.unique(gram_of[self.owner == k])
-            self.use[own[np.lexsort((own, counts[own]))][: -(-len(own) // 2)]] = True
-        self._mask()
-
-    def hits(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, position, n-gram) of every n-gram in use; positions count from the batch's first word."""
-        runs = fold(words, self.n)
-        at = np.flatnonzero(self.mask[(runs & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        gram = np.minimum(np.searchsorted(self.grams, runs[at]), max(len(self.grams) - 1, 0))
-        doc = np.searchsorted(ends, at, "right")
-        keep = (self.grams[gram] == runs[at]) & self.use[gram] & (at + self.n <= ends[doc]) if len(at) else np.zeros(0, bool)
-        return doc[keep], at[keep], gram[keep]
+        self.mask[(self.grams[self.first < self.last] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def choose_seeds(self, counts: np.ndarray, threshold: float) -> None:
+        """Of each item the rarest words that an alignment of ``threshold`` can't do without.
+
+        A score of s takes s / MATCH matched words or more, and other words of the document cost 1 each: of m
+        words at most m - least go unmatched, and the alignment spans at most m + MATCH * m - s words.
+        """
+        self.need, self.reach = np.ones(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+        seeds = []
+        for k, place in zip(self.long, self.places, strict=True):
+            m = len(place)
+            least = max(math.ceil(threshold * m - 1e-9), 1)
+            self.need[k] = need = -(-least // NEED_SHARE)
+            self.reach[k] = m + math.floor(MATCH * m * (1 - threshold) + 1e-9)
+            seeds.append(place[np.argsort(counts[place], kind="stable")][: max(m - least + need, 0)] if least <= m else place[:0])
+        self._file(seeds)
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, word of the benchmark) of every filed word."""
+        at = np.flatnonzero(self.mask[(words & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        gram = np.minimum(np.searchsorted(self.grams, words[at]), max(len(self.grams) - 1, 0))
+        keep = (self.grams[gram] == words[at]) & (self.first[gram] < self.last[gram]) if len(at) else np.zeros(0, bool)
+        return at[keep], gram[keep]
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,33 +119,41 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _windows(items: Items, words: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(document, item, first word, last word) of every stretch in which seeds place an item."""
-    doc, at, gram = items.hits(words, ends)
-    if not len(doc):
-        return []
+    """(document, item, first word, word after the last) of every stretch with seeds enough for an item."""
+    at, gram = items.hits(words)
     many = items.last[gram] - items.first[gram]
-    pick = np.repeat(items.first[gram] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    doc, at, item = np.repeat(doc, many), np.repeat(at, many), items.owner[pick]
-    diagonal = at - items.place[pick]
-    order = np.lexsort((diagonal, item, doc))
+    doc = np.searchsorted(ends, at, "right")
+    upto = np.cumsum(many)
     out: list[tuple[int, int, int, int]] = []
-    last = None
-    for d, k, g in zip(doc[order].tolist(), item[order].tolist(), diagonal[order].tolist(), strict=True):
-        m = len(items.words[k])
-        lo, hi = g - m // 2, g + m + m // 2
-        if last and last[0] == d and last[1] == k and lo <= last[3]:
-            last = (d, k, last[2], max(last[3], hi))
-            out[-1] = last
-        else:
-            last = (d, k, lo, hi)
-            out.append(last)
-    starts = [0, *ends.tolist()]
-    return [(d, k, max(lo, starts[d]), min(hi, starts[d + 1])) for d, k, lo, hi in out]
+    a = 0
+    while a < len(at):
+        b = max(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HITS, "right")), a + 1)
+        b = int(np.searchsorted(doc, doc[b - 1], "right")) if doc[b - 1] == doc[a] else b if b == len(at) else int(np.searchsorted(doc, doc[b], "left"))
+        out += _stretches(items, at[a:b], gram[a:b], many[a:b], len(words), ends)
+        a = b
+    return out
+
+
+def _stretches(items: Items, at: np.ndarray, gram: np.ndarray, many: np.ndarray, n: int, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
+    pick = np.repeat(items.first[gram] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+    item, at = np.divmod(np.sort(items.owner[pick] * n + np.repeat(at, many)), n)
+    doc = np.searchsorted(ends, at, "right")
+    here = np.arange(len(at))
+    there = here + items.need[item] - 1
+    here, there = here[there < len(at)], there[there < len(at)]
+    keep = (item[there] == item[here]) & (doc[there] == doc[here]) & (at[there] - at[here] < items.reach[item[here]])
+    here, there = here[keep], there[keep]
+    if not len(here):
+        return []
+    doc, item, lo, hi = doc[here], item[here], at[there] - items.reach[item[here]] + 1, at[here] + items.reach[item[here]]
+    lo, hi = np.maximum(lo, np.concatenate([[0], ends])[doc]), np.minimum(hi, ends[doc])
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])]))
+    return list(zip(doc[new].tolist(), item[new].tolist(), lo[new].tolist(), hi[np.append(new[1:], len(hi)) - 1].tolist(), strict=True))
 
 
 def leaks_in(items: Items, texts: list[str | None], threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, word after the last) of the best alignment of each leaked item."""
-    words, ends = hash_words(texts)
+    words, ends = folded_words(texts)
     todo = sorted(_windows(items, words, ends), key=lambda w: (w[3] - w[2], w))
     best: dict[tuple[int, int], tuple] = {}
     at = 0
@@ -183,15 +205,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 for at in range(0, batch.num_rows, 1024):
                     texts = batch.column(0).slice(at, 1024).to_pylist()
                     for a, b in batches_of(texts):
-                        doc, _, gram = items.hits(*hash_words(texts[a:b]))
-                        sums += np.bincount(np.unique(doc * len(sums) + gram) % len(sums), minlength=len(sums))
+                        sums += np.bincount(items.hits(folded_words(texts[a:b])[0])[1], minlength=len(sums))
             some = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some], pa.int64())], ["gram", "n"])
 
         counts = np.zeros(len(items.grams), np.int64)
         for r in own.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
             counts[r["gram"]] = r["n"]
-        items.choose_seeds(counts)
+        items.choose_seeds(counts, threshold)
         seeded = spark.sparkContext.broadcast(items)
 
         def find(batches: Iterator[pa.RecordBatch], held=seeded) -> Iterator[pa.RecordBatch]:

@@ -348,6 +348,55 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontamination.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()) == [(k, k) for k in range(9)]
 
 
+def plain_leaks(items, rows):
+    """Smith-Waterman of every item with every whole document."""
+    held, found = decontamination.Items(items, 3), {}
+    for d, text in rows:
+        w, _ = decontamination.hash_words([text])
+        for k, own in enumerate(held.words):
+            if len(w) and len(own) >= 3:
+                score = int(decontamination.align([own], [w])[0][0])
+                if score >= decontamination.THRESHOLD * decontamination.MATCH * len(own):
+                    found[d, items[k][0]] = score / (decontamination.MATCH * len(own))
+    return found
+
+
+def test_leaks_in_edited_copies(spark):
+    rng = random.Random(11)
+    item = [[f"i{k}x{j}" if rng.random() < 0.7 else f"common{rng.randrange(9)}" for j in range(30)] for k in range(6)]
+    items = [(k, " ".join(w)) for k, w in enumerate(item)]
+    filler = lambda n: [f"common{rng.randrange(9)}" if rng.random() < 0.3 else f"f{rng.randrange(500)}" for _ in range(n)]
+    texts = []
+    for every in (2, 3, 4, 5, 7):
+        texts += [filler(20) + [x if j % every else "edited" for j, x in enumerate(item[0])] + filler(20)]
+        texts += [filler(5) + [x for j, x in enumerate(item[1]) if j % every] + filler(9)]
+        texts += [[y for j, x in enumerate(item[2]) for y in ([x, "added"] if j % every == 0 else [x])]]
+    texts += [[y for x in item[2] for y in (x, "added")]]  # no two words side by side
+    texts += [filler(30) + [x if j % 5 else "edited" for j, x in enumerate(item[3])] for _ in range(300)]  # copies of one edited version
+    texts += [filler(30) + item[4][at : at + size] + filler(30) for size in (14, 15, 16, 17) for at in (0, 7, 13)]
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts)]
+    want = plain_leaks(items, rows)
+    assert {k for _, k in want} == {0, 1, 2, 3, 4} and len(want) > 310
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_leaks_in_few_words(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "HITS", 50)
+    rng = random.Random(12)
+    text = lambda n, words: " ".join(f"w{rng.randrange(words)}" for _ in range(n))
+    items = [(k, text(rng.randint(1, 20), 5)) for k in range(12)]
+    rows = [(d, text(rng.randint(0, 60), 9)) for d in range(60)]
+    want = plain_leaks(items, rows)
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 50 and got == pytest.approx(want)
+
+
+def test_leaks_whatever_the_case(spark):
+    df = frame(spark, [(1, "VOR ÉTÉ ÜBER GROSSE ÑANDÚ ЖУК")])
+    assert [r.doc_id for r in decontamination.find_leaks(df, spark.createDataFrame([(7, "été über große ñandú жук")], "item_id long, text string")).collect()] == [1]
+
+
 # -- personal data --------------------------------------------------------------------------------------
 
 
