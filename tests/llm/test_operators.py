@@ -435,6 +435,23 @@ def test_license_documents(spark, docs, empty):
     assert license_scan.scan_documents(empty).count() == 0 and license_scan.scan_documents(docs).count() == len(DOCS)
 
 
+def licences(text):
+    return [(text[b[0] : b[1]], b[2]) for b in license_scan.scan(text)]
+
+
+MIT, APACHE, GPL = (license_scan.TEMPLATES[k] for k in ("MIT", "Apache-2.0", "GPL-3.0"))
+
+
+def test_every_licence_of_a_block():
+    for gap in (" ", "\n", "\n\n", " and "):
+        assert licences(f"x {MIT}{gap}{APACHE}{gap}{GPL} y") == [(MIT, "MIT"), (APACHE, "Apache-2.0"), (GPL, "GPL-3.0")]
+    assert licences(f"Copyright 2020 J. R. Doe. All rights reserved.\n{MIT}") == [("Copyright 2020 J. R. Doe. All rights reserved.", "ARR"), (MIT, "MIT")]
+    assert licences(f"Copyright (c) 2020 Jane Doe, {MIT}") == [(f"Copyright (c) 2020 Jane Doe, {MIT}", "MIT")]
+    assert licences(f"{MIT} Licensed under CC BY-ND 9.9.\nby permission") == [(MIT, "MIT"), (" Licensed under CC BY-ND 9.9.", None), ("by permission", None)]
+    edited = GPL.replace("work", "fine work")
+    assert [b[2:3] + b[4:] for b in license_scan.scan(f"{MIT} {edited}")] == [("MIT", ""), ("GPL-3.0", "- +fine")]
+
+
 # -- shared ---------------------------------------------------------------------------------------------
 
 
