@@ -452,6 +452,14 @@ def test_every_licence_of_a_block():
     assert [b[2:3] + b[4:] for b in license_scan.scan(f"{MIT} {edited}")] == [("MIT", ""), ("GPL-3.0", "- +fine")]
 
 
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_notice_anywhere_in_a_long_line(name):
+    notice = license_scan.TEMPLATES[name]
+    for n in (0, 10, 100, 1000):
+        text = " ".join([*(f"word{k}" for k in range(n)), notice, *(f"more{k}" for k in range(n))])
+        assert [(text[b[0] :].startswith(notice[:20]), b[2]) for b in license_scan.scan(text) if b[2]] == [(True, name)]
+
+
 # -- shared ---------------------------------------------------------------------------------------------
 
 
