@@ -460,6 +460,23 @@ def test_notice_anywhere_in_a_long_line(name):
         assert [(text[b[0] :].startswith(notice[:20]), b[2]) for b in license_scan.scan(text) if b[2]] == [(True, name)]
 
 
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_notice_wrapped_anyhow(name, mark):
+    own = license_scan.TEMPLATES[name].split()
+    for width in (1, 2, 3, 5, 8):
+        lines = [mark + " ".join(own[k : k + width]) for k in range(0, len(own), width)]
+        assert [b[2] for b in license_scan.scan("\n".join(["before it", *lines, "after it"])) if b[2]] == [name]
+
+
+def test_notices_as_published():
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    assert licences(f"intro\n{mpl} If a copy") == [(mpl, "MPL-2.0")]
+    tag = "// SPDX-License-Identifier: "
+    assert [x[1] for x in licences(f"{tag}MIT\n{tag}(Apache-2.0 OR GPL-2.0-or-later) AND BSD-3-Clause\n{tag}GPL-2.0 WITH Classpath-exception-2.0 */\n{tag}\n")] == ["MIT", "Apache-2.0", "GPL-2.0-or-later", "BSD-3-Clause", "GPL-2.0 WITH Classpath-exception-2.0", None]
+    assert licences("x SPDX-License-Identifier: MIT. And more") == [("SPDX-License-Identifier: MIT.", "MIT")]
+
+
 # -- shared ---------------------------------------------------------------------------------------------
 
 
