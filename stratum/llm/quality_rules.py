@@ -54,36 +54,53 @@ def count_dup_lines(text: Column) -> Column:
 def _covered(words: Column, hashes: Column) -> Column:
     """Words inside windows that occur twice or more.
 
-    A window's hash (high bits) and position (low bits) share one long, so that sorting puts equal
-    windows side by side at the speed of a primitive sort; neighbours are then confirmed on the whole
-    hash.  Texts of a million words and more give the position more bits.
+    A window's hash (as many bits as there is room for) and position share one long, so that sorting puts
+    equal windows side by side at the speed of a primitive sort.  Where neighbours agree in those bits but
+    differ in the whole hash, and in texts of a million words and more, pairs of whole hash and position are
+    sorted instead.
     """
+    bits = 20
+    mask = F.lit((1 << bits) - 1)
+    zero = F.lit(0).cast("long")
+
+    def spread(at: Column) -> Column:
+        gaps = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.size(at) - 1, F.lit(1))),
+            zero,
+            lambda acc, j: acc + F.coalesce(F.least(F.lit(WINDOW).cast("long"), F.get(at, j) - F.get(at, j - 1)), F.lit(0)),
+        )
+        return F.when(F.size(at) == 0, zero).otherwise(gaps + WINDOW)
+
+    def with_pairs() -> Column:
+        pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i")))
+
+        def same(p: Column, j: Column) -> Column:
+            return F.coalesce(F.get(p, j)["h"] == F.get(p, j + 1)["h"], F.lit(False))
 
-    def with_bits(bits: int) -> Column:
-        mask = F.lit((1 << bits) - 1)
+        def places(p: Column) -> Column:
+            return F.sort_array(F.transform(F.filter(p, lambda x, j: same(p, j) | same(p, j - 1)), lambda x: x["i"]))
+
+        return let(let(F.sort_array(pairs), places), spread)
+
+    def with_bits() -> Column:
         packed = F.transform(hashes, lambda h, i: F.shiftleft(h, bits).bitwiseOR(i.cast("long")))
 
         def same(p: Column, j: Column) -> Column:
-            a, b = F.get(p, j), F.get(p, j + 1)
-            close = F.shiftrightunsigned(a, bits) == F.shiftrightunsigned(b, bits)
-            whole = F.get(hashes, a.bitwiseAND(mask).cast("int")) == F.get(hashes, b.bitwiseAND(mask).cast("int"))
-            return F.coalesce(close & whole, F.lit(False))
+            return F.coalesce(F.shiftrightunsigned(F.get(p, j), bits) == F.shiftrightunsigned(F.get(p, j + 1), bits), F.lit(False))
+
+        def whole(x: Column) -> Column:
+            return F.get(hashes, x.bitwiseAND(mask).cast("int"))
 
         def places(p: Column) -> Column:
             at = F.filter(p, lambda x, j: same(p, j) | same(p, j - 1))
             return F.sort_array(F.transform(at, lambda x: x.bitwiseAND(mask)))
 
-        def spread(at: Column) -> Column:
-            gaps = F.aggregate(
-                F.sequence(F.lit(1), F.greatest(F.size(at) - 1, F.lit(1))),
-                F.lit(0).cast("long"),
-                lambda acc, j: acc + F.coalesce(F.least(F.lit(WINDOW).cast("long"), F.get(at, j) - F.get(at, j - 1)), F.lit(0)),
-            )
-            return F.when(F.size(at) == 0, F.lit(0).cast("long")).otherwise(gaps + WINDOW)
+        def mixed(p: Column) -> Column:
+            return F.size(F.filter(p, lambda x, j: same(p, j) & (whole(x) != whole(F.get(p, j + 1))))) > 0
 
-        return let(let(F.sort_array(packed), places), spread)
+        return let(F.sort_array(packed), lambda p: F.when(mixed(p), with_pairs()).otherwise(let(places(p), spread)))
 
-    return F.when(F.size(words) < (1 << 20), with_bits(20)).otherwise(with_bits(31))
+    return F.when(F.size(words) < (1 << bits), with_bits()).otherwise(with_pairs())
 
 
 def count_repeat_words(words: Column) -> Column:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratum.llm import decontamination, html_extraction, jaccard_join, license_scan, packing, pii, quality_rules, sharding, url_filters, warc
 from stratum.llm.shared import discard, materialize
@@ -43,6 +44,14 @@ def words(text):
 # -- quality rules --------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize(("size", "apart"), [(1 << 20, 40), (1000, 50), (1000, 0)])
+def test_repeats_where_short_hashes_meet(spark, size, apart):
+    """Two windows by turns, whose hashes differ from bit ``apart`` on."""
+    hashes = F.expr(f"transform(sequence(1, {size - 2}), i -> CASE i WHEN 100 THEN 1L WHEN 300 THEN 1L WHEN 200 THEN {1 + (1 << apart)}L WHEN 400 THEN {1 + (1 << apart)}L ELSE i + 10L END)")
+    df = spark.range(1).repartition(1).select(F.expr(f"sequence(1, {size})").alias("w"), hashes.alias("h"))
+    assert df.select(quality_rules._covered(F.col("w"), F.col("h"))).first()[0] == 12
+
+
 def plain_figures(text):
     w = words(text)
     grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
