@@ -10,13 +10,17 @@ found without ever writing out the pairs of a group:
   pairs for connectivity, since each of those pairs meets the threshold by size alone.
 * Large sets use prefix lists: in one global order of shingles, linked sets share one of the first
   ``n - ceil(p/q * n) + 1``.  The order is by counts in a fixed-size sketch over all documents, then by
-  hash, so frequent passages come last.  Lists with one member go; the rest are gathered in *cells* by
-  their least member.  In a cell each set first shows its size and a parity sketch: bit i says whether
-  it has an odd number of shingles in bucket i, so two sketches differ in no more bits than their sets
-  have differences, and pairs that differ in too many are ruled out for certain.  What is left is dealt
+  hash, so frequent passages come last.  A list is parted by size bands as wide as linked sets may differ,
+  each set in its own band and the next; lists with one member go, the rest are gathered in *cells* by
+  their least member.  In a cell each set first shows its size and a parity sketch: bit i says whether it
+  has an odd number of shingles in bucket i, so two sketches differ in no more bits than their sets have
+  differences, and pairs that differ in too many are ruled out for certain.  Sketches of BRIEF_BITS at most
+  go first; what they leave shows one with as many bits as the set has shingles.  What is left then is dealt
   out by candidate component, with texts, and there inverted lists count every overlap exactly; a local
-  union-find keeps a spanning forest, so a cell gives fewer links than it has sets.  A cell with more
-  than CELL_SETS sets or CELL_ITEMS shingles is dealt out as pairs of blocks.
+  union-find keeps a spanning forest, so a cell gives fewer links than it has sets.
+* A hot cell, of more sets or shingles than a task should hold, is first dealt out once, in blocks that all
+  hold some of its sets besides (anchors), and linked exactly there.  Sets that this joins to one anchor need
+  not be compared again: only those outside the largest such group meet the rest, in pairs of blocks.
 * ``boundary`` minimises the estimated cost over the histogram of set sizes.
 * Connected components by alternating large-star and small-star steps, each written to the shared folder.
 
@@ -31,13 +35,13 @@ extra columns are ignored by ``link_documents`` and kept by ``keep_one``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import discard, materialize, release, table
@@ -45,9 +49,16 @@ from .shingles import batches_of, mix, shingle_runs
 
 #: Counters of the sketch, and blocks in which it travels.
 SKETCH, SKETCH_BLOCKS = 1 << 20, 16
-#: Sets and shingles that one cell holds at most before it is dealt out as pairs of blocks.
-CELL_SETS, CELL_ITEMS = 1024, 2_000_000
-PARITY_BITS = 1024
+#: Sets (or BLOCK_ROOTS times the root of their number) and shingles that one cell holds at most before it is dealt out in blocks.
+CELL_SETS, BLOCK_ROOTS, CELL_ITEMS = 128, 4, 2_000_000
+#: Sets of a hot cell that each of its first blocks holds, about.
+ANCHORS = 8
+#: Hot cells up to this number are broadcast (16 bytes each), more are joined by shuffle.
+HOT_CELLS = 100_000
+#: Bits of the least parity sketch and of the longest that is compared first.
+LEAST_BITS, BRIEF_BITS = 128, 1024
+#: Parts in which the counters of all tasks are summed before the last sum.
+SUM_PARTS = 64
 #: Bits of the filters that keep documents of no cell, and shingles of one prefix alone, out of shuffles.
 BITMAP, ITEM_BITMAP = 1 << 25, 1 << 27
 #: Cells of so many sets are never dealt out, whatever the sets' sizes.
@@ -96,19 +107,21 @@ def _sketch(docs: DataFrame, k: int, text: str) -> tuple[np.ndarray, dict[int, i
                     runs = shingle_runs(texts[a:b], k)
                     counts += np.bincount((np.concatenate(runs) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                     sizes += np.bincount([min(len(r), 255) for r in runs], minlength=256)
-        rows = [(b, counts[b * width : (b + 1) * width].tobytes()) for b in range(SKETCH_BLOCKS)] + [(-1, sizes.tobytes())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
+        rows = [(b, counts[b * width : (b + 1) * width].astype(np.int64).tobytes()) for b in range(SKETCH_BLOCKS)] + [(-1, sizes.tobytes())]
+        part = TaskContext.get().partitionId() % SUM_PARTS
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = np.frombuffer(raw, np.int64 if block < 0 else np.uint32).astype(np.int64)
+            for block, _, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one = np.frombuffer(raw, np.int64)
                 sums[block] = sums[block] + one if block in sums else one
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "part", "counts"])
 
-    parts = docs.select(text).mapInArrow(count, "block int, counts binary")
-    rows = parts.repartition(SKETCH_BLOCKS + 1, "block").mapInArrow(add, "block int, counts binary").collect()  # SKETCH counters, whatever the input
+    form = "block int, part int, counts binary"
+    sums = docs.select(text).mapInArrow(count, form).repartition("block", "part").mapInArrow(add, form)
+    rows = sums.repartition(SKETCH_BLOCKS + 1, "block").mapInArrow(add, form).collect()  # SKETCH counters, whatever the input
     counts, sizes = np.zeros(SKETCH, np.int64), {}
     for r in rows:
         values = np.frombuffer(bytes(r["counts"]), np.int64)
@@ -116,7 +129,7 @@ def _sketch(docs: DataFrame, k: int, text: str) -> tuple[np.ndarray, dict[int, i
             sizes = {n: int(c) for n, c in enumerate(values[:255]) if c}
         else:
             counts[r["block"] * width : (r["block"] + 1) * width] = values
-    return np.minimum(counts, (1 << 20) - 1).astype(np.uint32), sizes
+    return (np.log2(counts + 1.0) * (1 << 14)).astype(np.uint32), sizes  # 20 bits: the order matters, not the counts
 
 
 def class_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -131,10 +144,19 @@ def class_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[byt
     return m1, m2, [int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big") for a, b in zip(h1, h2, strict=True)]
 
 
-def parity(hashes: np.ndarray) -> bytes:
-    """One bit for each of PARITY_BITS buckets: is its number of shingles odd?"""
-    counts = np.bincount((hashes >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS)
-    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """One bit for each bucket: is its number of shingles odd?  As many buckets as shingles, to the next power of two."""
+    size = max(LEAST_BITS, 1 << (max(1, len(hashes)) - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8))
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Parity sketches (along the last axis) with fewer buckets: ``size`` of their elements each."""
+    while sketch.shape[-1] > size:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
 
 
 def nameless(key: bytes) -> int:
@@ -166,16 +188,19 @@ def _signatures(docs: DataFrame, k: int, p: int, q: int, sketch, boundary: int,
                 for a, b in batches_of(texts):
                     sets = [np.unique(r) for r in shingle_runs(texts[a:b], k)]
                     m1, m2, keys = class_keys(sets)
-                    prefixes, subsets, sketches, first = [], [], [], 0
+                    prefixes, subsets, briefs, sketches, first = [], [], [], [], 0
                     for s, h in zip(sets, keys, strict=True):
                         n = len(s)
                         if n >= max(1, least):
                             rank = (counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20))
                             length = prefix_length(n, p, q)
                             prefixes.append(s[np.argpartition(rank, length - 1)[:length]].view(np.int64))
-                            sketches.append(parity(m1[first : first + n]))
+                            whole = parity(m1[first : first + n])
+                            briefs.append(folded(whole, BRIEF_BITS // 8).tobytes())
+                            sketches.append(whole.tobytes() if 8 * len(whole) > BRIEF_BITS else None)
                         else:
                             prefixes.append(None)
+                            briefs.append(None)
                             sketches.append(None)
                         subsets.append(subset_keys(h, m1[first : first + n], m2[first : first + n], deletions(n, p, q)) if 0 < n <= boundary else None)
                         first += n
@@ -183,11 +208,11 @@ def _signatures(docs: DataFrame, k: int, p: int, q: int, sketch, boundary: int,
                     stand = [nameless(h) if i is None else i for i, h in zip(ids.to_pylist(), keys, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [ids, pa.array(stand, pa.int64()), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                         pa.array(prefixes, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.binary())), pa.array(sketches, pa.binary())],
-                        ["doc_id", "doc", "cls", "n", "prefix", "subsets", "parity"],
+                         pa.array(prefixes, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.binary())), pa.array(briefs, pa.binary()), pa.array(sketches, pa.binary())],
+                        ["doc_id", "doc", "cls", "n", "prefix", "subsets", "brief", "parity"],
                     )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(sign, "doc_id long, doc long, cls binary, n long, prefix array<long>, subsets array<binary>, parity binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(sign, "doc_id long, doc long, cls binary, n long, prefix array<long>, subsets array<binary>, brief binary, parity binary")
 
 
 def _light_links(classes: DataFrame, p: int, q: int) -> DataFrame:
@@ -199,20 +224,58 @@ def _light_links(classes: DataFrame, p: int, q: int) -> DataFrame:
     return met.select(F.col("cls").alias("u"), F.col("least.cls").alias("v"))
 
 
-def _deal(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc, pivot, part, side): ``members`` (pivot, doc) with large cells as pairs of blocks.
+def _blocks(sets: str, items: str) -> Column:
+    most = F.greatest(F.lit(float(CELL_SETS)), BLOCK_ROOTS * F.sqrt(sets))
+    return F.ceil(F.greatest(F.col(sets) / most, F.col(items) / CELL_ITEMS)).cast("long")
+
+
+def _hot(members: DataFrame) -> DataFrame | None:
+    """(pivot, c, blocks) of the hot cells of ``members`` (pivot, doc, n); None if there are none."""
+    cells = members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("items")).filter(F.col("c") > SMALL_CELL)
+    hot = materialize(cells.select("pivot", "c", _blocks("c", "items").alias("blocks")).filter("blocks > 1"), "jaccard-hot")
+    many = hot.count()
+    return (F.broadcast(hot) if many <= HOT_CELLS else hot) if many else None
+
+
+def _block(of: Column | str) -> Column:
+    return F.pmod(F.xxhash64("doc"), of)
 
-    A cell is (pivot, part); side is the class's block where the cell is a pair of blocks, else -1.
+
+def _first_deal(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """(doc, pivot, part, side): hot cells in blocks; the pivot and about ANCHORS more sets, of side 0, are in each of them."""
+    rows = members.join(hot, "pivot")
+    anchor = (F.col("doc") == F.col("pivot")) | (F.pmod(F.xxhash64(F.lit(7), "doc"), F.col("c")) < ANCHORS)
+    parts = F.when(anchor, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(_block("blocks")))
+    return rows.select("doc", "pivot", F.explode(parts).alias("part"), F.when(anchor, 0).otherwise(-1).alias("side"))
+
+
+def _deal(members: DataFrame, hot: DataFrame | None, known: DataFrame | None) -> DataFrame:
+    """(doc, pivot, part, side): ``members`` (pivot, doc, n) with hot cells as pairs of blocks.
+
+    A cell is (pivot, part); side is the set's block where the cell is a pair of blocks, else -1.  In a hot
+    cell, sets of its largest component by ``known`` (doc, comp) don't meet one another.
     """
-    many = members.groupBy("pivot").agg(F.count("*").alias("c")).filter(F.col("c") > SMALL_CELL)
-    heavy = members.join(many, "pivot").join(classes.select("doc", "n"), "doc").groupBy("pivot").agg(F.max("c").alias("c"), F.sum("n").alias("items"))
-    blocks = F.greatest(F.ceil(F.col("c") / CELL_SETS), F.ceil(F.col("items") / CELL_ITEMS)).cast("int")
-    large = heavy.select("pivot", blocks.alias("blocks")).filter("blocks > 1")
-    dealt = members.join(large, "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    if hot is None:
+        return members.select("doc", "pivot", F.lit(0).cast("long").alias("part"), F.lit(-1).alias("side"))
+    cold = members.join(hot, "pivot", "left_anti").select("doc", "pivot", F.lit(0).cast("long").alias("part"), F.lit(-1).alias("side"))
+    rows = members.join(hot.select("pivot"), "pivot")
+    rows = rows.join(known, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")) if known is not None else rows.withColumn("comp", F.col("doc"))
+    parts = rows.groupBy("pivot", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
+    cells = parts.groupBy("pivot").agg(F.max(F.struct("c", "items", "comp")).alias("main"), F.sum("c").alias("all_c"), F.sum("items").alias("all_items"))
+    cells = cells.select("pivot", F.col("main.comp").alias("main"), F.col("main.c").alias("c"), F.col("main.items").alias("items"), (F.col("all_c") - F.col("main.c")).alias("rest_c"), (F.col("all_items") - F.col("main.items")).alias("rest_items"))
+    cells = materialize(cells.select("pivot", "main", _blocks("c", "items").alias("mains"), _blocks("rest_c", "rest_items").alias("rests")), "jaccard-parts")
+    cells = F.broadcast(cells) if cells.count() <= HOT_CELLS else cells
+    rows = rows.join(cells, "pivot")
+    rest, main = rows.filter("comp != main").withColumn("block", _block("rests")), rows.filter("comp = main and rests > 0").withColumn("block", _block("mains"))
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
+
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    return dealt.select("doc", "pivot", (low.cast("long") * F.col("blocks") + high).alias("part"), F.when(low != high, F.col("block")).otherwise(-1).alias("side"))
+    among = rest.select("*", each("rests")).select("doc", "pivot", (1 + low * F.col("rests") + high).alias("part"), F.when(low != high, F.col("block").cast("int")).otherwise(-1).alias("side"))
+    out = rest.select("*", each("mains")).select("doc", "pivot", (-1 - F.col("block") * F.col("mains") - F.col("other")).alias("part"), F.lit(0).alias("side"))
+    back = main.select("*", each("rests")).select("doc", "pivot", (-1 - F.col("other") * F.col("mains") - F.col("block")).alias("part"), F.lit(1).alias("side"))
+    return cold.unionAll(among).unionAll(out).unionAll(back)
 
 
 def groups_of(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -227,9 +290,8 @@ def groups_of(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list[tuple]]]:
         yield held[0][:2], held
 
 
-def candidate_roots(sizes: list[int], sketches: list[bytes], sides: list[int], p: int, q: int) -> list[int]:
-    """For each set the least set of its component under pairs that size and parity don't rule out."""
-    m = len(sizes)
+def union_find(m: int) -> tuple[Callable[[int], int], Callable[[int, int], bool]]:
+    """Finder of the least element of a component, and joiner of two elements, which says whether they were apart."""
     parent = list(range(m))
 
     def find(x: int) -> int:
@@ -238,89 +300,122 @@ def candidate_roots(sizes: list[int], sketches: list[bytes], sides: list[int], p
             x = parent[x]
         return x
 
-    def join(i: int, j: int) -> None:
+    def join(i: int, j: int) -> bool:
         a, b = find(i), find(j)
         parent[max(a, b)] = min(a, b)
+        return a != b
+
+    return find, join
+
+
+def roots_of(m: int, links: list[tuple[int, int]]) -> list[int]:
+    find, join = union_find(m)
+    for i, j in links:
+        join(i, j)
+    return [find(i) for i in range(m)]
+
+
+def differences(a: bytes, b: bytes) -> int:
+    """In how many bits two parity sketches differ, the longer one folded."""
+    if len(a) != len(b):
+        size = min(len(a), len(b))
+        a, b = (folded(np.frombuffer(x, np.uint8), size).tobytes() for x in (a, b))
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+
+
+def candidate_roots(sizes: list[int], sketches: list[bytes], sides: list[int], p: int, q: int) -> list[int]:
+    """For each set the least set of its component under pairs that size and parity don't rule out."""
+    m = len(sizes)
+    find, join = union_find(m)
 
     if m <= 24:
-        bits = [int.from_bytes(x, "big") for x in sketches]
         for i in range(m):
             for j in range(i):
                 a, b = sizes[i], sizes[j]
-                if q * min(a, b) >= p * max(a, b) and (bits[i] ^ bits[j]).bit_count() * (p + q) <= (a + b) * (q - p) and (sides[i] < 0 or sides[i] != sides[j]):
+                if q * min(a, b) >= p * max(a, b) and (sides[i] < 0 or sides[i] != sides[j]) and differences(sketches[i], sketches[j]) * (p + q) <= (a + b) * (q - p):
                     join(i, j)
-    else:
-        words = np.frombuffer(b"".join(sketches), np.uint64).reshape(m, -1)
-        n, side = np.array(sizes), np.array(sides)
-        for i in range(1, m):
-            differ = np.bitwise_count(words[:i] ^ words[i]).sum(axis=1, dtype=np.int64)
-            ok = (differ * (p + q) <= (n[:i] + n[i]) * (q - p)) & (q * np.minimum(n[:i], n[i]) >= p * np.maximum(n[:i], n[i]))
+        return [find(i) for i in range(m)]
+    n, side = np.array(sizes), np.array(sides)
+    lengths = np.array([len(x) for x in sketches]) // 8
+    seen, words = np.zeros(0, np.int64), np.zeros((0, int(lengths.max())), np.uint64)
+    for length in sorted(set(lengths.tolist()), reverse=True):  # longer sketches are folded to those of each length
+        own = np.flatnonzero(lengths == length)
+        words = np.concatenate([folded(words, length), np.frombuffer(b"".join(sketches[i] for i in own.tolist()), np.uint64).reshape(len(own), length)])
+        at, seen = len(seen), np.concatenate([seen, own])
+        for k, i in enumerate(own.tolist(), at):
+            before = seen[:k]
+            differ = np.bitwise_count(words[:k] ^ words[k]).sum(axis=1, dtype=np.int64)
+            ok = (differ * (p + q) <= (n[before] + n[i]) * (q - p)) & (q * np.minimum(n[before], n[i]) >= p * np.maximum(n[before], n[i]))
             if sides[i] >= 0:
-                ok &= side[:i] != side[i]
-            for j in np.flatnonzero(ok).tolist():
+                ok &= side[before] != side[i]
+            for j in before[ok].tolist():
                 join(i, j)
     return [find(i) for i in range(m)]
 
 
-def _candidates(classes: DataFrame, p: int, q: int) -> DataFrame:
-    """(pivot, doc): classes with some partner that nothing rules out, by candidate component."""
+def band_keys(items: np.ndarray, sizes: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each item with the size band of its set, and with the next: sets that may link share a key with one of its own band."""
+    band = np.floor(np.log(np.maximum(sizes, 1)) / (math.log(q / p) * (1 + 1e-9))).astype(np.uint64) if p < q else sizes.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return tuple(mix(items.view(np.uint64) + mix(band + np.uint64(i), 41), 43).view(np.int64) for i in (0, 1))
+
+
+def _members(classes: DataFrame, p: int, q: int) -> DataFrame:
+    """(pivot, doc, n): classes that share a prefix shingle with one of like size, by the least of them."""
     spark = classes.sparkSession
     prefixes = classes.filter("prefix is not null")
     items = prefixes.select(F.explode("prefix").alias("item")).groupBy("item").agg(F.count("*").alias("c")).filter("c > 1").select("item")
-    shared = materialize(items, "jaccard-items")
+    bits = spark.sparkContext.broadcast(_bitmap(items, ITEM_BITMAP))  # ITEM_BITMAP bits, whatever the input
     release(spark)
-    bits = spark.sparkContext.broadcast(_bitmap(shared, ITEM_BITMAP))  # ITEM_BITMAP bits, whatever the input
-    discard(shared)
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc, item) of items that may stand in more than one prefix."""
+        """(doc, n, key, own) of items that may stand in more than one prefix."""
         held = bits.value
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             values = lists.flatten().to_numpy(zero_copy_only=False)
-            docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            docs, sizes = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())) for i in (0, 1))
             word, bit = bitmap_places(values, ITEM_BITMAP)
             keep = (held[word] & bit) != 0
-            yield pa.RecordBatch.from_arrays([pa.array(docs[keep]), pa.array(values[keep])], ["doc", "item"])
+            docs, sizes = docs[keep], sizes[keep]
+            for key, own in zip(band_keys(values[keep], sizes, p, q), (True, False), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(sizes), pa.array(key), pa.array(np.full(len(key), own))], ["doc", "n", "key", "own"])
 
-    rows = prefixes.select("doc", "prefix").mapInArrow(thin, "doc long, item long")
-    pivots = rows.groupBy("item").agg(F.min("doc").alias("pivot"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    members = materialize(rows.join(pivots, "item").select("pivot", "doc").distinct(), "jaccard-members")
+    rows = prefixes.select("doc", "n", "prefix").mapInArrow(thin, "doc long, n long, key long, own boolean")
+    pivots = rows.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("c"), F.max("own").alias("own")).filter("c > 1 and own").select("key", "pivot")
+    members = materialize(rows.join(pivots, "key").select("pivot", "doc", "n").distinct(), "jaccard-members")
     release(spark)
-    dealt = _deal(members, classes).join(classes.select("doc", "n", "parity"), "doc").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "doc")
+    return members
+
+
+def _sift(dealt: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
+    """(pivot, doc, n): sets of ``dealt`` cells with some partner that size and sketches (doc, n, sketch) don't rule out, by candidate component."""
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
         for _, held in groups_of(rows):
             docs = [r[2] for r in held]
             roots = candidate_roots([r[3] for r in held], [r[4] for r in held], [r[5] for r in held], p, q)
             used = {r for i, r in enumerate(roots) if r != i}
-            out += [(docs[r], docs[i]) for i, r in enumerate(roots) if r in used]
+            out += [(docs[r], docs[i], held[i][3]) for i, r in enumerate(roots) if r in used]
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["pivot", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["pivot", "doc", "n"])
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["pivot", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["pivot", "doc", "n"])
 
-    found = dealt.select("pivot", "part", "doc", "n", "parity", "side").mapInArrow(sift, "pivot long, doc long").distinct()
+    rows = dealt.join(sketches, "doc").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "doc")
+    found = rows.select("pivot", "part", "doc", "n", "sketch", "side").mapInArrow(sift, "pivot long, doc long, n long").distinct()
     found = materialize(found, "jaccard-candidates")
-    discard(members)
-    release(spark)
+    release(dealt.sparkSession)
     return found
 
 
 def forest(sets: list[np.ndarray], sides: list[int], p: int, q: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``sets``; with two sides, of those across."""
     m = len(sets)
-    parent = list(range(m))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    join = union_find(m)[1]
     out = []
     sizes = np.array([len(s) for s in sets])
     if m == 2:
@@ -346,9 +441,7 @@ def forest(sets: list[np.ndarray], sides: list[int], p: int, q: int) -> list[tup
         if side[i] >= 0:
             met &= side[:i] != side[i]
         for j in np.flatnonzero(met).tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                parent[a] = b
+            if join(i, j):
                 out.append((i, j))
     return out
 
@@ -374,7 +467,29 @@ def _bitmap(values: DataFrame, size: int) -> np.ndarray:
 
 
 def _heavy_links(docs: DataFrame, classes: DataFrame, k: int, p: int, q: int, text: str) -> DataFrame:
-    cells = materialize(_deal(_candidates(classes, p, q), classes), "jaccard-cells")
+    members = _members(classes, p, q)
+    hot = _hot(members)
+    first = known = None
+    if hot is not None:
+        first = materialize(_exact_links(docs, _first_deal(members, hot), k, p, q, text, anchored=True), "jaccard-first")
+        release(docs.sparkSession)
+        known = first.filter("comp is not null").groupBy("doc").agg(F.min("comp").alias("comp"))
+    left = _sift(_deal(members, hot, known), classes.select("doc", "n", F.col("brief").alias("sketch")), p, q)
+    discard(members)
+    if not left.filter(F.col("n") > BRIEF_BITS).isEmpty():  # else the whole sketches are the brief ones
+        left, last = _sift(_deal(left, _hot(left), known), classes.select("doc", "n", F.coalesce("parity", "brief").alias("sketch")), p, q), left
+        discard(last)
+    links = _exact_links(docs, _deal(left, _hot(left), known), k, p, q, text)
+    links = links.select("u", "v")
+    return links if first is None else links.unionAll(first.filter("u is not null").select("u", "v"))
+
+
+def _exact_links(docs: DataFrame, dealt: DataFrame, k: int, p: int, q: int, text: str, anchored: bool = False) -> DataFrame:
+    """(u, v) of a spanning forest of the links in each of the cells ``dealt`` (doc, pivot, part, side).
+
+    Where cells are ``anchored``, side 0 marks anchors, and rows (doc, comp) name the least anchor to which each set is joined.
+    """
+    cells = materialize(dealt, "jaccard-cells")
     release(docs.sparkSession)
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(cells.select("doc"), BITMAP))  # BITMAP bits, whatever the input
 
@@ -397,54 +512,65 @@ def _heavy_links(docs: DataFrame, classes: DataFrame, k: int, p: int, q: int, te
     # texts travel, not sets: compressed they are less than half as large
     dealt = named.join(cells, "doc").repartition("pivot", "part").sortWithinPartitions("pivot", "part")
 
+    form = "u binary, v binary, doc long, comp long"
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    sets = [np.unique(r) for r in shingle_runs(part.column(2).to_pylist(), k)]
-                    yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), class_keys(sets)[2], sets, part.column(3).to_pylist(), strict=True)
+                    sets = [np.unique(r) for r in shingle_runs(part.column(3).to_pylist(), k)]
+                    yield from zip(*(part.column(i).to_pylist() for i in (0, 1, 2, 4)), class_keys(sets)[2], sets, strict=True)
 
-        def links(held: dict[bytes, tuple]) -> list[tuple[bytes, bytes]]:
+        def links(held: dict[bytes, tuple]) -> list[tuple]:
             if len(held) < 2:
                 return []
             keys, values = list(held), list(held.values())
-            found = forest([v[0] for v in values], [v[1] for v in values], p, q)
-            return [(max(keys[i], keys[j]), min(keys[i], keys[j])) for i, j in found]
+            found = forest([v[0] for v in values], [-1 if anchored else v[1] for v in values], p, q)
+            out: list[tuple] = [(max(keys[i], keys[j]), min(keys[i], keys[j]), None, None) for i, j in found]
+            if anchored:
+                roots = roots_of(len(values), found)
+                least: dict[int, int] = {}
+                for root, (_, side, doc) in zip(roots, values, strict=True):
+                    if side == 0:
+                        least[root] = min(doc, least.get(root, doc))
+                out += [(None, None, doc, least[root]) for root, (_, _, doc) in zip(roots, values, strict=True) if root in least]
+            return out
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["u", "v", "doc", "comp"])
 
         out, held, cell = [], {}, None
-        for pivot, part, key, items, side in rows():
+        for pivot, part, doc, side, key, items in rows():
             if (pivot, part) != cell:
                 out += links(held)
                 held, cell = {}, (pivot, part)
                 if len(out) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["u", "v"])
+                    yield batch(out)
                     out = []
-            held.setdefault(key, (items, side))  # rows that repeat a document add nothing
+            held.setdefault(key, (items, side, doc))  # rows that repeat a document add nothing
         out += links(held)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["u", "v"])
+            yield batch(out)
 
-    return dealt.select("pivot", "part", "text", "side").mapInArrow(scan, "u binary, v binary")
+    return dealt.select("pivot", "part", "doc", "text", "side").mapInArrow(scan, form)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (u, v); root is the least node of its component."""
     # links are made once, here
     stars = materialize(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    seen = None
     while True:
-        both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = stars.select("u", "v", F.lit(1).alias("above")).unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("above")))
+        least = both.groupBy("u").agg(F.min("v").alias("w"), F.sum("above").alias("above"), F.count("*").alias("all"))
+        if least.filter("above > 1 or above between 1 and all - 1").isEmpty():
+            break  # who has a lesser neighbour has no other
+        large = both.join(least.select("u", F.least("u", "w").alias("m")), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         last, stars = stars, materialize(small.filter("u != v").distinct(), "stars")
         discard(last)
-        now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == seen:
-            break
-        seen = now
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -455,7 +581,7 @@ def link_documents(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, text: st
     boundary = choose_boundary(sizes, p, q)
     sketch = spark.sparkContext.broadcast(counts)  # SKETCH counters of 4 bytes, whatever the input
     signed = materialize(_signatures(docs, k, p, q, sketch, boundary, text), "jaccard-signed")
-    classes = signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("doc")).alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"), F.first("parity").alias("parity"))
+    classes = signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min("doc_id"), F.min("doc")).alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"), F.first("brief").alias("brief"), F.first("parity").alias("parity"))
     classes = materialize(classes, "jaccard-classes")
     release(spark)
     roots = components(_light_links(classes, p, q).unionAll(_heavy_links(docs, classes, k, p, q, text)))

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,7 @@ def test_jaccard_join(spark, k, p, q):
 
 def test_jaccard_blocks_and_null_ids(spark, empty, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CELL_SETS", 5)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROOTS", 0)
     monkeypatch.setattr(jaccard_join, "SMALL_CELL", 2)
     base = [f"w{k}" for k in range(100)]
     rows = [(k, " ".join(base[:k] + ["new" + str(k)] + base[k + 1 :])) for k in range(40)]
@@ -216,6 +218,52 @@ def test_jaccard_blocks_and_null_ids(spark, empty, monkeypatch):
     assert jaccard_join.link_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("anchors", [0, 3])
+def test_jaccard_hot_cells(spark, monkeypatch, anchors):
+    """Groups in one cell: copies that link in chains, and sets that share words but don't link."""
+    for name, value in (("CELL_SETS", 6), ("BLOCK_ROOTS", 0), ("SMALL_CELL", 2), ("ANCHORS", anchors), ("BRIEF_BITS", 128), ("HOT_CELLS", anchors)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng, rows = random.Random(anchors), []
+    common = [f"w{k}" for k in range(110)]
+    for group in range(6):
+        own = common + [f"g{group}x{k}" for k in range(6 * group)]
+        for k in range(4 + 6 * group):
+            rows.append((100 * group + k, " ".join(w for w in own if rng.random() > 0.05) + f" d{group}a{k // 2}"))
+    rng.shuffle(rows)
+    want = plain_components(rows, 1, 9, 10)
+    assert 3 < len({c for _, c in want.values()}) < len(rows) - 3
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(frame(spark, rows), 1, 9, 10).collect()}
+    assert got == want
+
+
+def test_parity_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(7)
+    for n in (100, 1000, 3000, 5000):
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for lost in (0, 1, n // 20, n // 11):
+            two = np.concatenate([one[lost:], rng.integers(0, 1 << 63, lost // 2, dtype=np.uint64)])
+            sketches = [jaccard_join.parity(x).tobytes() for x in (one, two)]
+            apart = len(np.setxor1d(one, two))
+            assert jaccard_join.differences(*sketches) <= apart and jaccard_join.differences(*sketches[::-1]) <= apart
+            common = len(np.intersect1d(one, two))
+            linked = 10 * common >= 9 * (len(one) + len(two) - common)
+            for extra in (0, 30):  # few sets are compared one by one, many at once
+                far = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(extra)]
+                every = [one, two, *far]
+                roots = jaccard_join.candidate_roots([len(x) for x in every], [jaccard_join.parity(x).tobytes() for x in every], [-1] * len(every), 9, 10)
+                assert (roots[1] == 0 or not linked) and roots[2:] == list(range(2, len(every)))
+
+
+@pytest.mark.parametrize("p, q", [(9, 10), (4, 5), (1, 2)])
+def test_sets_that_may_link_share_a_band(p, q):
+    one = np.zeros(1, np.int64)
+    keys = {n: [int(x[0]) for x in jaccard_join.band_keys(one, np.array([n]), p, q)] for n in range(1, 3000)}
+    for n in range(1, 3000):
+        m = q * n // p
+        if m in keys:
+            assert keys[m][0] in keys[n], (n, m)
+
+
 def test_keep_one(spark, clashing):
     text = " ".join(f"w{k}" for k in range(60))
     df = spark.createDataFrame([(3, text, "en"), (1, text + " more", "en"), (2, "other text of six words here", "de"), (2, "other text of six words here", "de"), (9, None, "fr")], "doc_id long, text string, lang string")
