@@ -12,7 +12,7 @@ import uuid
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ from .sources.storage import Storage
 FORMAT_VERSION = 1
 SNAPSHOT_INTERVAL, SNAPSHOTS_KEPT = 100, 20
 LARGE_COMMIT = 262_144
+#: Row conflicts of a table that a report lists; more are counted and written to a table that it names.
+REPORTED = 1000
 EMPTY_MANIFEST: dict[str, Any] = {"tables": {}, "views": {}}
 #: Fields of a table entry that are not part of its schema.
 DATA_FIELDS = ("files", "lanes", "sequence")
@@ -255,12 +257,13 @@ class Engine:
             if before and before["columns"] == entry["columns"]:
                 if changes.isEmpty():
                     continue
-                found = [r[0] for r in changes.filter(F.col(E.BEFORE).isNotNull()).select(E.FILE).distinct().collect()]  # names of files, not rows
+                named = changes.filter(F.col(E.BEFORE).isNotNull()).select(E.FILE).distinct()
+                found = {r[0] for r in named.collect()}  # names of files, as in the manifest, not rows
                 if None in found:
                     kept, part = [], rows
                 else:
-                    kept = [f for f in entry["files"] if f not in set(found)]
-                    part = rows.filter(F.col(E.FILE).isNull() | F.col(E.FILE).isin(found))
+                    kept = [f for f in entry["files"] if f not in found]
+                    part = rows.join(named.select(F.col(E.FILE).alias("__of")), F.col(E.FILE) == F.col("__of"), "left").filter(F.col(E.FILE).isNull() | F.col("__of").isNotNull())
                 entry["files"] = kept + self.storage.write_rows(part.select(*columns), folder)
                 old = changes.filter(F.col(E.BEFORE).isNotNull()).select(H.digest(F.col(E.BEFORE)).alias("h"))
                 new = changes.filter("__after is not null").select(H.digest(F.col("__after")).alias("h"))
@@ -276,9 +279,11 @@ class Engine:
             out = p if out is None else out.unionAll(p)
         return out
 
-    def _ranks(self, manifest: dict) -> dict[str, int]:
-        references = {n: {fk["table"] for fk in e["fks"]} for n, e in manifest["tables"].items()}
-        return {n: k for k, n in enumerate(E.dependency_order(list(manifest["tables"]), references))}
+    @staticmethod
+    def _ranks(tables: dict[str, dict]) -> dict[str, int]:
+        names = {fold(n): n for n in tables}
+        references = {n: {names.get(fold(fk["table"]), fk["table"]) for fk in e["fks"]} for n, e in tables.items()}
+        return {n: k for k, n in enumerate(E.dependency_order(list(tables), references))}
 
     def _stage(self, work: Work) -> dict[str, DataFrame]:
         """Changed rows, held so that checks, effects and files are made from one scan."""
@@ -302,7 +307,9 @@ class Engine:
                 by = {r["table_name"]: r["count"] for r in rows.groupBy("table_name").count().collect()}  # one row a table
                 count, tables = sum(by.values()), tables | set(by)
                 if count:
-                    E.number_effects(rows, self._ranks(work.manifest | {"tables": work.before["tables"] | work.manifest["tables"]}), count).write.mode("overwrite").parquet(self.storage.path(place))
+                    scratch = f"_log/numbering/{seq}-{uuid.uuid4().hex}"
+                    E.number_effects(rows, self._ranks(work.before["tables"] | work.manifest["tables"]), count, self.storage.path(scratch)).write.mode("overwrite").parquet(self.storage.path(place))
+                    self.storage.delete(scratch)
                     lanes = self._effect_lanes(self.effects(seq - 1, seq))
                 rows.unpersist()
         finally:
@@ -328,9 +335,12 @@ class Engine:
         return commit
 
     @staticmethod
-    def _effect_lanes(effects: DataFrame) -> H.Lanes:
-        signed = F.concat_ws("\x1f", "table_name", "pk_json", "op_kind", F.coalesce("before_json", F.lit("\x1e")), F.coalesce("after_json", F.lit("\x1e")), F.col("effect_index").cast("string"))
-        return H.collect_lanes(effects.select(H.digest(signed).alias("h")), "h")
+    def _signed_effect() -> Column:
+        """Digest of all that a commit's id says of a row effect."""
+        return H.digest(F.concat_ws("\x1f", "table_name", "pk_json", "op_kind", F.coalesce("before_json", F.lit("\x1e")), F.coalesce("after_json", F.lit("\x1e")), F.col("effect_index").cast("string")))
+
+    def _effect_lanes(self, effects: DataFrame) -> H.Lanes:
+        return H.collect_lanes(effects.select(self._signed_effect().alias("h")), "h")
 
     # -- N17, N18: apply and check --------------------------------------------------------------------
 
@@ -368,6 +378,7 @@ class Engine:
         ]
         predicted: dict[str, Any] = {"rowEffects": 0, "schemaEffects": 0, "tables": []}
         errors: list[dict] = []
+        changed: dict[str, DataFrame] = {}
         actual = schema_hash(manifest)
         if plan.base_schema_hash.lower() != actual:
             errors.append({"code": "STALE_PLAN", "message": "the schema has changed since the plan was made", "detail": {"expected": plan.base_schema_hash, "actual": actual}})
@@ -386,6 +397,9 @@ class Engine:
                 errors.append({"code": e.code, "message": e.message})
             except Exception as e:  # noqa: BLE001  the plan fails, whatever the reason
                 errors.append({"code": "PLAN_CHECK_FAILED", "message": str(e).splitlines()[0]})
+            finally:
+                for c in changed.values():
+                    c.unpersist()
         risk = "high" if errors or warnings else "medium" if schema_ops or predicted["schemaEffects"] else "low"
         summary = {
             "operations": len(kinds), "schemaOperations": schema_ops, "dataOperations": len(kinds) - schema_ops, "destructiveOperations": len(warnings),
@@ -441,8 +455,10 @@ class Engine:
             now = current.withColumn("__pkn", H.encoded(schema, entry["pk"]))
             held = now.filter(F.col(E.ALIVE)).select(F.col("__pkn").alias("pk_json"), H.digest(H.encoded(schema)).alias("hash"))
             wrong = E.mismatches(held, own.select(F.col("__pk").alias("pk_json"), "op_kind", F.col("__bh").alias("before_hash")))
-            for r in wrong.limit(1000).collect():  # a bounded report
-                conflicts.append({"kind": "row", "table": table, "pk": r["pk_json"], "op": r["op_kind"]})
+            first = wrong.select("pk_json", "op_kind").limit(REPORTED + 1).collect()
+            conflicts += [{"kind": "row", "table": table, "pk": r["pk_json"], "op": r["op_kind"]} for r in first[:REPORTED]]
+            if len(first) > REPORTED:
+                self._keep_conflicts(table, wrong, conflicts)
             target = F.from_json("__aj", T.MapType(T.StringType(), T.StringType()))
             hit = F.col("__pk").isNotNull()
             joined = now.join(own, now["__pkn"] == own["__pk"], "left").withColumn("__m", target)
@@ -456,6 +472,17 @@ class Engine:
                 entry["sequence"] = max(entry["sequence"], int(top or 0))
         return conflicts
 
+    def _keep_conflicts(self, table: str, wrong: DataFrame, conflicts: list[dict]) -> None:
+        """Write all conflicts of a table where a report lists only the first, and say where they are."""
+        place = f"_log/conflicts/{uuid.uuid4().hex}"
+        rows = wrong.select(F.lit(table).alias("table"), F.col("pk_json").alias("pk"), F.col("op_kind").alias("op"))
+        rows.write.parquet(self.storage.path(place))
+        conflicts.append({"kind": "more", "table": table, "count": self.spark.read.parquet(self.storage.path(place)).count(), "all": place})
+
+    def conflicts(self, place: str) -> DataFrame:
+        """(table, pk, op) of every conflict, at the place that a report names."""
+        return self.spark.read.parquet(self.storage.path(place))
+
     def replay(self, commit: Commit, source: Engine) -> Commit:
         """Apply a commit of another replica here; every hash has to come out as there."""
         manifest = self.manifest()
@@ -498,13 +525,20 @@ class Engine:
         for c in later:
             conflicts += [{"kind": "schema", "table": e["table"], "reason": f"its schema was changed by {c['commitId']}"} for e in c["schemaEffects"] if e["table"] in reverted]
         if reverted:
-            touched = self.effects(target["seq"]).filter(F.col("table_name").isin(sorted(reverted))).select("table_name", "pk_json").limit(1000).collect()
-            conflicts += [{"kind": "schema", "table": r[0], "pk": r[1], "reason": "rows were changed since, which reverting the schema would drop"} for r in touched]
+            for table in sorted(reverted):
+                touched = self.effects(target["seq"]).filter(F.col("table_name") == table).select("pk_json", "op_kind").distinct()
+                first = touched.limit(REPORTED + 1).collect()
+                conflicts += [{"kind": "schema", "table": table, "pk": r[0], "reason": "rows were changed since, which reverting the schema would drop"} for r in first[:REPORTED]]
+                if len(first) > REPORTED:
+                    self._keep_conflicts(table, touched, conflicts)
         if not conflicts:
             work = self._work(manifest, now)
             swapped = [dict(e, before=e["after"], after=e["before"]) for e in target["schemaEffects"]]
             found = self._apply_effects(work, E.inverse(effects), swapped, "REVERT_FAILED")
             for f in found:
+                if f["kind"] == "more":
+                    conflicts.append(f)
+                    continue
                 reasons = {"insert": "the deleted row is there again", "delete": "the inserted row was changed or removed since", "update": "the row was changed since"}
                 conflicts.append({k: v for k, v in f.items() if k != "op"} | ({"reason": reasons[f["op"]]} if "op" in f else {}))
         if not conflicts:
@@ -524,8 +558,10 @@ class Engine:
     def verify(self, full: bool = False) -> dict:
         """Recompute every commit id; quick: files are there; full: every table's lanes from its rows."""
         issues, parent = [], None
+        signed = self.effects().select("seq", self._signed_effect().alias("h"))
+        lanes = {r["seq"]: H.lanes_of(r) for r in signed.groupBy("seq").agg(*H.lane_sums(F.col("h"))).collect()}  # one row a commit
         for c in self.list_commits():
-            digest = H.lanes_hex(self._effect_lanes(self.effects(c["seq"] - 1, c["seq"])) if c["rowEffectCount"] else H.EMPTY)
+            digest = H.lanes_hex(lanes.get(c["seq"], H.EMPTY))
             if digest != c["rowEffectDigest"] or c.compute_id() != c["commitId"]:
                 issues.append(f"Commit hash mismatch: {c['commitId']}")
             if c["parentCount"] != len(c["parentIds"]) or c["parentIds"] != ([parent] if parent else []):

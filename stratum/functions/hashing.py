@@ -11,7 +11,7 @@ import hashlib
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,8 +82,11 @@ def lane_sums(hash_column: Column) -> list[Column]:
 
 
 def collect_lanes(df: DataFrame, hash_column: str) -> Lanes:
-    r = df.agg(*lane_sums(F.col(hash_column))).first()
-    return (*(int(r[k]) % LANE for k in range(LANES)), int(r["n"]))
+    return lanes_of(df.agg(*lane_sums(F.col(hash_column))).first())
+
+
+def lanes_of(row: Row) -> Lanes:
+    return (*(int(row[f"lane{k}"]) % LANE for k in range(LANES)), int(row["n"]))
 
 
 def add(a: Lanes, b: Lanes, sign: int = 1) -> Lanes:

@@ -12,15 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
 
 from ..functions.hashing import digest, encoded
 
 BEFORE, KEY, ALIVE, FILE = "__before", "__key", "__alive", "__file"
 EFFECT = "table_name string, pk_json string, op_kind string, before_json string, after_json string, before_hash string, after_hash string, effect_index long"
 PHASE = {"delete": 0, "update": 1, "insert": 2}
-#: Effects up to this many are numbered by one window, more by partition.
-ONE_WINDOW = 100_000
+#: Effects that one task sorts and numbers.
+TASK_EFFECTS = 100_000
 
 
 def kind_of(before: Column, after: Column) -> Column:
@@ -51,23 +50,14 @@ def complete(table: str, keyed: DataFrame) -> DataFrame:
 
 
 def dependency_order(tables: Sequence[str], references: dict[str, set[str]]) -> list[str]:
-    """Parents before children; cycles are entered at their least name."""
+    """Level by level: tables whose parents are all placed, by name; where a cycle leaves none, the least name."""
+    waiting = {t: {p for p in references.get(t, ()) if p != t} & set(tables) for t in tables}
     out: list[str] = []
-    open_, done = set(), set()
-
-    def visit(t: str) -> None:
-        if t in done or t in open_:
-            return
-        open_.add(t)
-        for parent in sorted(references.get(t, ())):
-            if parent in tables:
-                visit(parent)
-        open_.discard(t)
-        done.add(t)
-        out.append(t)
-
-    for t in sorted(tables):
-        visit(t)
+    while waiting:
+        level = sorted(t for t, parents in waiting.items() if parents.isdisjoint(waiting)) or [min(waiting)]
+        out += level
+        for t in level:
+            del waiting[t]
     return out
 
 
@@ -80,11 +70,25 @@ def effect_order(ranks: dict[str, int]) -> list[Column]:
     return [phase, F.when(F.col("op_kind") == "delete", -rank).otherwise(rank), F.col("table_name"), F.col("pk_json")]
 
 
-def number_effects(effects: DataFrame, ranks: dict[str, int], count: int) -> DataFrame:
+def number_effects(effects: DataFrame, ranks: dict[str, int], count: int, scratch: str) -> DataFrame:
+    """``effect_index`` from 0 without gaps, at any size: sorted ranges number their own rows and then add what lies before them.
+
+    More than one range is kept at ``scratch`` in between, so that a lost executor can't draw the ranges anew.
+    """
     order = effect_order(ranks)
-    if count <= ONE_WINDOW:
-        return effects.withColumn("effect_index", F.row_number().over(W.Window.orderBy(*order)).cast("long") - 1)
-    return effects.orderBy(*order).withColumn("effect_index", F.monotonically_increasing_id())  # ascending, not gapless
+    ranges = -(-count // TASK_EFFECTS)
+    local = effects.repartitionByRange(max(1, ranges), *order).sortWithinPartitions(*order).withColumn("effect_index", F.monotonically_increasing_id())
+    if ranges < 2:
+        return local
+    local.write.mode("overwrite").parquet(scratch)
+    local = effects.sparkSession.read.schema(local.schema).parquet(scratch).withColumn("__range", F.shiftright("effect_index", 33))
+    counts = sorted(local.groupBy("__range").agg(F.count("*")).collect())  # one row a range
+    before, offsets = 0, []
+    for at, n in counts:
+        offsets.append((at, before - (at << 33)))
+        before += n
+    found = effects.sparkSession.createDataFrame(offsets, "__range long, __offset long")
+    return local.join(F.broadcast(found), "__range").withColumn("effect_index", F.col("effect_index") + F.col("__offset")).drop("__range", "__offset")
 
 
 def diff(before: DataFrame, after: DataFrame, pk: Sequence[str], table: str = "t") -> DataFrame:

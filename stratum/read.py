@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .engine import Engine
 from .errors import EngineError
@@ -22,38 +22,30 @@ def _refuse_writes(plan) -> None:
         stack += [children.apply(i) for i in range(children.size())]
 
 
-def read(engine: Engine, sql: str) -> DataFrame:
-    """The result of one SELECT or WITH statement, lazily; collect it within bounds."""
+def guarded(session: SparkSession, sql: str) -> DataFrame:
+    """The result of one SELECT or WITH statement over what ``session`` can see, lazily."""
     text = check_read_sql(sql)
-    session = engine.spark.newSession()
     try:
         _refuse_writes(session._jsparkSession.sessionState().sqlParser().parsePlan(text))
-    except EngineError:
-        raise
-    except Exception as e:
-        raise EngineError("INVALID_SQL", str(e).strip().splitlines()[0]) from e
-    manifest = engine.manifest()
-    here, engine.storage.spark = engine.storage.spark, session
-    try:
-        for name in manifest["tables"]:
-            engine.table(name, manifest).createOrReplaceTempView(f"`{name}`")
-        _log_views(engine, session)
-        for name, view in manifest["views"].items():
-            session.sql(view["sql"]).createOrReplaceTempView(f"`{name}`")
         return session.sql(text)
     except EngineError:
         raise
     except Exception as e:
         raise EngineError("INVALID_SQL", str(e).strip().splitlines()[0]) from e
-    finally:
-        engine.storage.spark = here
 
 
-def _log_views(engine: Engine, session) -> None:
-    """The log as views: commits and row effects."""
-    keep, engine.spark = engine.spark, session
-    try:
-        engine.commits_df().createOrReplaceTempView("_stratum_commit")
-        engine.effects().createOrReplaceTempView("_stratum_row_effect")
-    finally:
-        engine.spark = keep
+def read(engine: Engine, sql: str) -> DataFrame:
+    """``guarded`` over the tables, views and log of ``engine``, in a session of its own; collect it within bounds."""
+    check_read_sql(sql)
+    own = Engine(engine.spark.newSession(), engine.storage.root)
+    manifest = own.manifest()
+    for name in manifest["tables"]:
+        own.table(name, manifest).createOrReplaceTempView(f"`{name}`")
+    own.commits_df().createOrReplaceTempView("_stratum_commit")
+    own.effects().createOrReplaceTempView("_stratum_row_effect")
+    for name, view in manifest["views"].items():
+        try:
+            own.spark.sql(view["sql"]).createOrReplaceTempView(f"`{name}`")
+        except Exception as e:
+            raise EngineError("INVALID_SQL", f"view {name}: {str(e).strip().splitlines()[0]}") from e
+    return guarded(own.spark, sql)

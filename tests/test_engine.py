@@ -244,3 +244,57 @@ def test_random_plans_revert_to_the_same_state(engine, do):
 
 def test_open_needs_a_root(spark, tmp_path):
     fails("NOT_INITIALIZED", Engine.open, spark, str(tmp_path / "none"))
+
+
+# -- numbering and replicas at any size -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("task_effects", [7, 100_000])
+def test_effect_numbers_do_not_depend_on_how_they_are_dealt(spark, tmp_path, monkeypatch, task_effects):
+    from stratum.operators import effects as E
+
+    monkeypatch.setattr(E, "TASK_EFFECTS", task_effects)
+    rows = [(t, f"{k:03}", kind) for t in ("a", "b", "c") for k, kind in enumerate(["insert", "delete", "update"] * 9)]
+    df = spark.createDataFrame(rows, "table_name string, pk_json string, op_kind string").repartition(5)
+    ranks = {"b": 0, "a": 1, "c": 2}
+    want = sorted(rows, key=lambda r: (E.PHASE[r[2]], -ranks[r[0]] if r[2] == "delete" else ranks[r[0]], r[1]))
+    got = E.number_effects(df, ranks, len(rows), str(tmp_path / "numbering")).collect()
+    assert {r.effect_index: (r.table_name, r.pk_json, r.op_kind) for r in got} == dict(enumerate(want))
+
+
+def test_parents_come_first():
+    from stratum.operators.effects import dependency_order
+
+    assert dependency_order(["c", "b", "a"], {"a": {"b"}, "b": {"c"}}) == ["c", "b", "a"]
+    assert dependency_order(["x", "y", "z"], {"x": {"y"}, "y": {"x"}, "z": {"x"}}) == ["x", "y", "z"]
+    assert dependency_order(["n", "m"], {"n": {"n", "elsewhere"}}) == ["m", "n"]
+    assert dependency_order([f"t{k:04}" for k in range(3000)], {f"t{k:04}": {f"t{k + 1:04}"} for k in range(2999)})[0] == "t2999"
+
+
+@pytest.mark.parametrize("rows, task_effects", [(150, 10), (150_000, 100_000)])
+def test_commits_of_any_size_replicate(spark, tmp_path, monkeypatch, rows, task_effects):
+    from pyspark.sql import functions as F
+
+    from stratum.engine import Engine
+    from stratum.operators import effects as E
+    from stratum.sources.replica import Replica
+
+    monkeypatch.setattr(E, "TASK_EFFECTS", task_effects)
+    first = Engine.init(spark, str(tmp_path / "first"))
+    columns = [{"name": "id", "type": "INTEGER", "primaryKey": True}, {"name": "v", "type": "TEXT"}]
+    first.define({"t": {"columns": columns, "pk": ["id"]}}, frames={"t": spark.range(rows).select("id", F.lit("old").alias("v"))})
+    first.snapshot()
+    snapshot = first.head()["commitId"]
+    first.apply({"baseSchemaHash": first.schema_hash(), "message": "all", "operations": [{"type": "update", "table": "t", "values": {"v": "new"}, "where": {"v": "old"}}]})
+    assert first.effects().agg(F.countDistinct("effect_index"), F.max("effect_index")).first() == (rows, rows - 1)
+    assert first.storage.list("_log/numbering") == []
+    remote, before = str(tmp_path / "remote"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")  # ids must not depend on it
+    try:
+        assert Replica(first, remote).push()["pushed"] == 2
+        clone = Replica.clone(spark, remote, str(tmp_path / "clone"))
+        assert clone.head()["commitId"] == first.head()["commitId"] and clone.verify(full=True)["ok"]
+        assert first.recover(snapshot)["replayed"] == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert first.table("t").filter("v = 'new'").count() == rows
