@@ -4,8 +4,10 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -325,6 +327,90 @@ def test_main_text(source, want):
     assert html_extraction.extract(source, None) == want
 
 
+#: Pages and what a reader would call their article.
+LABELLED = [
+    ("<article><p class='side note'>kept by the way</p><p class=alert>and this</p></article>", "kept by the way\nand this"),
+    ("<header><h1>Site</h1></header><article><header><h1>Title</h1><p class=byline>by me</p></header><p>text</p></article>", "Title\nby me\ntext"),
+    ("<div class='has-sidebar no-comments'><p>the text of the page</p></div><div class=sidebar>links</div>", "the text of the page"),
+    ("<div class='share'><p>all of the article stands in here, oddly enough</p></div><div class=notice>closed today</div>", "all of the article stands in here, oddly enough"),
+    ("<div class=head>Site</div><article>short</article><div class='sidebar'>a long column of other things that one might read instead of it</div>", "short"),
+    ("<div class='content-sidebar-wrap'><main><p>text</p></main><div class='sidebar'><p>other</p></div></div>", "text"),
+    ("<article><p>text</p></article><article class='comment'><p>I disagree with all of that, and at length</p></article>", "text"),
+    ("<article><p>text</p><div class='related'><ul><li><a href=/x>more</a></ul></div></article>", "text"),
+    ("<article>x</article><div class='ad'>much longer than the article</div><div id='cookie-consent'>we use them</div>", "x"),
+    ("<div role=navigation><a href=/>home</a></div><main><h2>A</h2><pre>  b\n c</pre></main><div role=contentinfo>me</div>", "A\nb c"),
+    ("<article><p>one<p>two<blockquote class=banner>three</blockquote><table class=widget><tr><td>9</table></article>", "one\ntwo\nthree"),
+]
+
+
+def test_labelled_pages():
+    got = [html_extraction.extract(source, None) for source, _ in LABELLED]
+    assert got == [want for _, want in LABELLED]
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<div>" * 100_000 + "x", "x"),
+        ("<div>" * 100_000 + "x" + "</div>" * 100_000 + "<p>y", "x"),
+        ("<span>" * 50_000 + "<p>a</p>" * 20_000, "\n".join("a" * 20_000)),
+        ("<b>" * 50_000 + "</i>" * 50_000 + "x", "x"),
+        ("<p>before</p>" + "<a " * 300_000 + '"', "before"),
+        ("<p>before</p>" + "<a b='" * 100_001, "before"),
+        ("<head>" * 200_000 + "<p>x", "x"),
+        ("<p>four words a block</p>" * 400_000, "\n".join(["four words a block"] * 400_000)),
+        ("<div class=side>" * 3000 + "text of it", "text of it"),
+    ],
+    ids=["deep", "closed", "inline", "stray", "quote", "quotes", "head", "10 MB", "marked"],
+)
+def test_awkward_pages_take_no_longer_than_others(source, want):
+    started = time.perf_counter()
+    assert html_extraction.extract(source, None) == want and html_extraction.extract(source, [1]) == want
+    assert time.perf_counter() - started < 60
+
+
+class PlainArticle(HTMLParser):
+    """The blocks of article elements, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.blocks, self.text = 0, [], ""
+
+    def end_block(self):
+        if text := " ".join(self.text.split()):
+            self.blocks.append(text)
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag in ("article", "h1", "p"):
+            self.end_block()
+        elif tag == "br":
+            self.text += " "
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "h1", "p"):
+            self.end_block()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.text += data
+
+
+def test_pages_against_a_plain_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        plain = PlainArticle()
+        plain.feed(r.html or "")
+        plain.close()
+        want[r.page_id] = "\n".join(plain.blocks)
+    clashing = pages.select("*", F.lit(1).alias("host"), F.lit(2).alias("winners"), F.lit(3).alias("text"), F.lit(4).alias("path"))
+    got = {r.page_id: r.text for r in html_extraction.extract_pages(clashing).collect()}
+    assert got == want and len(got) == pages.count()
+
+
 def test_hosts_agree_on_paths(spark):
     body = "<div class='main'><p>the story itself, at some length</p></div><div class='teaser'><p>{}</p></div>"
     rows = [(k, "http://h/" + str(k), "<body>" + body.format("t") + "</body>") for k in range(6)] + [(6, "http://h/6", "<body>" + body.format("a teaser that is much longer than the story itself " * 3) + "</body>"), (7, None, None), (7, None, None)]
