@@ -82,6 +82,29 @@ def test_quality_order_does_not_matter(spark):
     assert [r.doc_id for r in quality_rules.score_documents(df, ordered=False).filter("kept").collect()] == [1]
 
 
+def test_costs_are_those_of_the_rules(spark):
+    """Windows of words cost more than counting symbols; a sample of one task, whatever the number of partitions."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(700)) + (" ### !!!" * 30 if k % 3 == 0 else "")) for k in range(300)]
+    df = frame(spark, rows, parts=6)
+    rules, shared = quality_rules.lazy_rules()
+    found = dict(zip(quality_rules.RULES, quality_rules.measure(df.select("text"), rules, shared), strict=True))
+    assert found["repetitive"][1] == max(seconds for _, seconds in found.values()) > 0
+    assert found["short"][0] == 0 < found["symbols"][0] < quality_rules.SAMPLE_ROWS
+    order = [r.name for r in quality_rules.plan_cascade(df.select("text"), rules, shared)]
+    assert order.index("symbols") < order.index("repetitive") and sorted(order) == sorted(quality_rules.RULES)
+    assert len(quality_rules.sample_of(df)) == quality_rules.SAMPLE_ROWS and max(len(r.text) for r in quality_rules.sample_of(df)) <= quality_rules.SAMPLE_CHARS
+
+
+def test_cascade_stops_at_the_first_rejection(spark):
+    df = frame(spark, [(1, "x"), (2, "y")], parts=1)
+    bad = F.raise_error(F.lit("reached")).isNotNull()
+    rules = [quality_rules.Rule("all", F.col("doc_id") > 0), quality_rules.Rule("never", bad)]
+    assert df.filter(quality_rules.cascade(rules)).count() == 2
+    with pytest.raises(Exception, match="reached"):
+        df.filter(quality_rules.cascade(rules[::-1])).count()
+
+
 # -- sharding -------------------------------------------------------------------------------------------
 
 
