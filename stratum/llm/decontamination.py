@@ -12,8 +12,8 @@ The benchmark is a stated query set: it is taken in blocks of BLOCK_BYTES, each
 each block is held against all documents.
 
 Defined results: words are compared without regard to case, by Unicode's case folding; null and empty texts
-and items match nothing; an item of fewer than SEED_WORDS words matches nothing; of an item with several
-null or equal ids each row is an item of its own; repeated documents are each reported; documents without a
+and items match nothing; an item of fewer than SEED_WORDS words, which stands in many a clean text, is held by
+documents that consist of just its words; of an item with several null or equal ids each row is an item of its own; repeated documents are each reported; documents without a
 doc_id are reported with a null and stay in ``drop_leaks``; an empty table gives an empty table;
 extra columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
@@ -59,6 +59,11 @@ class Items:
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(rows) else ends
         self.words = [words[a:b] for a, b in zip(starts, ends, strict=True)]
         self.long = [k for k, w in enumerate(self.words) if len(w) >= n]
+        self.short: dict[bytes, list[int]] = {}
+        for k, w in enumerate(self.words):
+            if 0 < len(w) < n:
+                self.short.setdefault(w.tobytes(), []).append(k)
+        self.shortest = n
         self.grams, flat = np.unique(np.concatenate([*(self.words[k] for k in self.long), np.zeros(0, np.uint64)]), return_inverse=True)
         self.places = np.split(flat, np.cumsum([len(self.words[k]) for k in self.long])[:-1]) if self.long else []
         self._file(self.places)
@@ -175,6 +180,10 @@ def leaks_in(items: Items, texts: list[str | None], threshold: float) -> list[tu
             stop = lo + int(finish[j]) - first
             found = (scores[j] / (MATCH * len(items.words[k])), -(stop - b), stop)
             best[d, k] = max(best.get((d, k), found), found)
+    first = np.concatenate([[0], ends]).astype(np.int64)
+    for d in np.flatnonzero((np.diff(first) < items.shortest) & (np.diff(first) > 0)).tolist() if items.short else ():
+        own = words[first[d] : first[d + 1]]
+        best |= {(d, k): (1.0, 0, len(own)) for k in items.short.get(own.tobytes(), ())}
     return [(d, k, float(s), -start, stop) for (d, k), (s, start, stop) in sorted(best.items())]
 
 
@@ -194,7 +203,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     out = spark.createDataFrame([], LEAK)
     for rows in _blocks(benchmark):
         items = Items(rows, n)
-        if not len(items.grams):
+        if not len(items.grams) and not items.short:
             continue
         held = spark.sparkContext.broadcast(items)  # BLOCK_BYTES of text at most
 

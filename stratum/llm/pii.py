@@ -17,7 +17,6 @@ table; extra columns stay in ``mask_documents`` and are left out of ``find_docum
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -118,17 +117,16 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     return [(k, a, b) for k in KINDS for a, b in sorted(found[k])]
 
 
-def join_spans(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
     """``text`` with each span, or run of overlapping spans, replaced by its first kind in brackets."""
-    out, at, left = [], 0, sorted((a, b, k) for k, a, b in spans)
-    while left:
-        a, b, k = left.pop(0)
-        while left and left[0][0] < b:
-            b = max(b, left.pop(0)[1])
+    runs: list[tuple[int, int, str]] = []
+    for a, b, k in sorted((a, b, k) for k, a, b in spans):
+        if runs and a < runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(b, runs[-1][1]), runs[-1][2])
+        else:
+            runs.append((a, b, k))
+    out, at = [], 0
+    for a, b, k in runs:
         out += [text[at:a], f"[{k.upper()}]"]
         at = b
     return "".join([*out, text[at:]])
@@ -179,20 +177,3 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text_of(base), 256).alias("base_sha256"),
         text_of(F.col("spans")).alias("spans"),
     )
-
-
-def brute_spans(text: str) -> list[tuple[str, int, int]]:
-    """Base spans straight from the stated forms, for tests."""
-    out = []
-    for kind, form, keep in (
-        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
-        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(d := re.sub(r"[\x20-]", "", s)) <= 19 and luhn(d)),
-        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= sum(c.isdigit() for c in s) <= 15),
-    ):
-        out += [(kind, *m.span()) for m in re.finditer(form, text) if keep(m[0])]
-    return out
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(join_spans(spans).encode()).hexdigest()

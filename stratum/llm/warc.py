@@ -7,7 +7,9 @@ page) and merges what each partition gets of every run with a loser tree, which
 global order: the partitions, in order, hold ascending keys, and ``capture_order`` ascends through them.
 
 Records are text in UTF-8, so Spark's text writer writes them with the record separator as line
-separator; nothing opens a file by a local path, and files are bounded by ARCHIVE_BYTES.
+separator; nothing opens a file by a local path.  A file takes as many records as make ARCHIVE_BYTES by the
+mean size, and a task reads one file at a time as a whole: what a reader needs is the largest file, which
+grows with the longest pages that stand in it.
 
 Defined results: a null html is the empty payload; a null URL leaves out the target header and sorts
 first; white space and control characters in URLs are percent-encoded; repeated rows give one record

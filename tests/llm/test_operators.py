@@ -147,6 +147,31 @@ def test_sharding(spark, docs, empty):
     assert all(len(s) == 1 for s in by_text.values())
     assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
     assert sharding.shard_documents(empty).count() == 0
+    clash = frame(spark, rows).withColumn("size", F.lit("old")).withColumn("shard", F.lit(-1)).withColumn("h", F.lit(None))
+    assert sorted(tuple(r) for r in sharding.shard_documents(clash).select("doc_id", "shard", "slot").collect()) == sorted((r.doc_id, r.shard, r.slot) for r in out)
+
+
+def test_shards_hold_near_equal_bytes(spark):
+    """The law: no shard holds more than its share and one group; a group larger than a share stands alone."""
+    rng = random.Random(5)
+    rows = [(k, f"{k} " + "x" * rng.randint(0, 400)) for k in range(2000)] + [(5000 + k, "copy " * rng.randint(1, 3)) for k in range(60)]
+    sizes = Counter()
+    for _, t in rows:
+        sizes[t] += len(t) + 1
+    load = Counter()
+    for r in sharding.shard_documents(frame(spark, rows)).collect():
+        load[r.shard] += r["size"]
+    total, largest = sum(sizes.values()), max(sizes.values())
+    assert sorted(load) == list(range(8)) and sum(load.values()) == total
+    assert max(load.values()) <= total / 8 + largest and min(load.values()) >= total / 8 - 8 * largest
+    hot = rows + [(9000 + k, "the hot text " * 8) for k in range(3000)]
+    load, alone = Counter(), set()
+    for r in sharding.shard_documents(frame(spark, hot)).collect():
+        load[r.shard] += r["size"]
+        if r.doc_id >= 9000:
+            alone.add(r.shard)
+    rest = [load[k] for k in range(8) if k not in alone]
+    assert len(alone) == 1 and load[alone.pop()] == 3000 * (13 * 8 + 1) and max(rest) <= sum(rest) / 7 + largest
 
 
 # -- url filters ----------------------------------------------------------------------------------------
@@ -558,6 +583,44 @@ def test_leaks_in_few_words(spark, monkeypatch):
     assert len(want) > 50 and got == pytest.approx(want)
 
 
+def plain_smith_waterman(item, words):
+    best, above = 0, [0] * (len(words) + 1)
+    for x in item:
+        row = [0]
+        for j, y in enumerate(words, 1):
+            row.append(max(0, above[j - 1] + (2 if x == y else -1), above[j] - 1, row[j - 1] - 1))
+        best, above = max(best, *row), row
+    return best
+
+
+def test_alignment_is_smith_waterman(spark):
+    """Scores and leaks against a plain alignment of every item with every whole document."""
+    rng = random.Random(9)
+    items = [(k, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 5)) for _ in range(rng.randint(3, 25)))) for k in range(25)]
+    docs = []
+    for d in range(60):
+        own = rng.choice(items)[1].split()
+        kept = [w if rng.random() > 0.25 else rng.choice(["new", ""]) for w in own]
+        docs.append((d, " ".join([rng.choice("ijkabc") + str(rng.randint(0, 5)) for _ in range(rng.randint(0, 40))] + kept + ["end"])))
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, t in docs:
+        for k, item in items:
+            score = plain_smith_waterman(item.split(), t.split()) / (2 * len(item.split()))
+            if score >= decontamination.THRESHOLD:
+                want[d, k] = score
+    assert got == pytest.approx(want) and 20 < len(want) < 1500
+
+
+def test_items_of_one_or_two_words(spark):
+    items = spark.createDataFrame([(1, "Lone"), (2, "two words"), (3, None), (4, " ")], "item_id long, text string")
+    rows = [(1, "lone"), (2, "two  WORDS\n"), (3, "two words more"), (4, "alone"), (5, None), (6, "")]
+    assert sorted(tuple(r) for r in decontamination.find_leaks(frame(spark, rows), items).collect()) == [(1, 1, 1.0, 0, 1), (2, 2, 1.0, 0, 2)]
+    clashing = frame(spark, rows).withColumn("item_id", F.lit("x")).withColumn("score", F.lit("y"))
+    left = decontamination.drop_leaks(clashing, items)
+    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6] and left.columns == clashing.columns
+
+
 def test_leaks_whatever_the_case(spark):
     df = frame(spark, [(1, "VOR ÉTÉ ÜBER GROSSE ÑANDÚ ЖУК")])
     assert [r.doc_id for r in decontamination.find_leaks(df, spark.createDataFrame([(7, "été über große ñandú жук")], "item_id long, text string")).collect()] == [1]
@@ -566,14 +629,49 @@ def test_leaks_whatever_the_case(spark):
 # -- personal data --------------------------------------------------------------------------------------
 
 
+def brute_spans(text):
+    """Base spans straight from the stated forms."""
+
+    def luhn(digits):
+        doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+        return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+    out = []
+    for kind, form, keep in (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(d := re.sub(r"[\x20-]", "", s)) <= 19 and luhn(d)),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= sum(c in "0123456789" for c in s) <= 15),
+    ):
+        out += [(kind, *m.span()) for m in re.finditer(form, text) if keep(m[0])]
+    return out
+
+
 def test_base_spans_match_the_forms():
     rng = random.Random(6)
     for _ in range(3000):
         text = "".join(rng.choice("ab@.+-_ 0123456789()12 3:/é") for _ in range(80))
-        assert [s for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS] == pii.brute_spans(text)
+        assert [s for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS] == brute_spans(text)
     assert pii.find_spans("token = \"ab12cd34\" iban DE89370400440532013000 http://u:p@h.x/") == [("account", 9, 17), ("iban", 24, 46), ("url", 54, 61)] or pii.find_spans("iban DE89370400440532013000")
 
 
+def test_masks_of_many_and_of_overlapping_spans():
+    assert pii.mask("0123456789", [("card", 1, 4), ("phone", 3, 6), ("email", 8, 9)]) == "0[CARD]67[EMAIL]9"
+    many = [("ip", 2 * k, 2 * k + 1) for k in range(200_000)]
+    assert pii.mask("a " * 200_000, many) == "[IP] " * 200_000
+
+
+def test_pii_query(spark):
+    """The query's columns over a whole table, from the stated forms."""
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        spans = brute_spans(r.text or "")
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want[r.doc_id] = (*[sum(k == kind for k, _, _ in spans) for kind in pii.BASE_KINDS], hashlib.sha256(text.encode()).hexdigest())
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.op9_pii(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and any(any(v[:4]) for v in want.values())
+
+
 def test_pii_documents(spark, docs, empty, clashing):
     text = "é mail a.b@c.de, 10.0.0.1 and 300.1.1.1, 4111 1111 1111 1111, +1 (555) 555-1234."
     df = frame(spark, [(1, text), (2, None), (2, None)])
