@@ -20,7 +20,7 @@ from .errors import EngineError
 from .functions import hashing as H
 from .operators import constraints
 from .operators import effects as E
-from .operators.work import Work, new_entry, schema_of
+from .operators.work import Work, new_entry, new_marks, schema_of
 from .plans.model import DESTRUCTIVE_OPERATIONS, SCHEMA_OPERATIONS, Plan, parse_plan
 from .plans.sqltext import check_identifier, fold, normalize_sql
 from .sources.storage import Storage
@@ -315,6 +315,8 @@ class Engine:
         finally:
             for c in changed.values():
                 c.unpersist()
+            for place in work.scratch:
+                self.storage.delete(place)
         commit = Commit(
             seq=seq, kind=kind, message=message, createdAt=now, parentIds=[head["commitId"]] if head else [], parentCount=1 if head else 0,
             schemaHashBefore=schema_hash(work.before), schemaHashAfter=schema_hash(work.manifest), stateHashAfter=state_hash(work.manifest), planHash=plan_hash,
@@ -379,6 +381,7 @@ class Engine:
         predicted: dict[str, Any] = {"rowEffects": 0, "schemaEffects": 0, "tables": []}
         errors: list[dict] = []
         changed: dict[str, DataFrame] = {}
+        work = None
         actual = schema_hash(manifest)
         if plan.base_schema_hash.lower() != actual:
             errors.append({"code": "STALE_PLAN", "message": "the schema has changed since the plan was made", "detail": {"expected": plan.base_schema_hash, "actual": actual}})
@@ -400,6 +403,8 @@ class Engine:
             finally:
                 for c in changed.values():
                     c.unpersist()
+                for place in work.scratch if work else ():
+                    self.storage.delete(place)
         risk = "high" if errors or warnings else "medium" if schema_ops or predicted["schemaEffects"] else "low"
         summary = {
             "operations": len(kinds), "schemaOperations": schema_ops, "dataOperations": len(kinds) - schema_ops, "destructiveOperations": len(warnings),
@@ -426,8 +431,7 @@ class Engine:
             work.manifest["tables"][name] = (old or new_entry(columns, pk)) | {"columns": columns, "pk": pk} | more
             if frames and name in frames:
                 rows = frames[name].select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema_of(work.manifest["tables"][name])])
-                none = F.lit(None).cast("string")
-                work.rows[name] = rows.select("*", none.alias(E.BEFORE), none.alias(E.KEY), F.lit(True).alias(E.ALIVE), none.alias(E.FILE))
+                work.rows[name] = rows.select("*", *new_marks())
         for name, sql in (views or {}).items():
             work.manifest["views"][check_identifier(name, "view")] = {"sql": sql}
         operations = [{"type": "define", "tables": sorted(tables or {}), "views": sorted(views or {})}]
@@ -463,9 +467,8 @@ class Engine:
             hit = F.col("__pk").isNotNull()
             joined = now.join(own, now["__pkn"] == own["__pk"], "left").withColumn("__m", target)
             cells = [F.when(hit & F.col("__aj").isNotNull(), H.decode_cell(F.element_at("__m", f.name), f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) for f in schema]
-            kept = joined.select(*cells, E.BEFORE, E.KEY, (F.col(E.ALIVE) & ~(hit & F.col("__aj").isNull())).alias(E.ALIVE), E.FILE)
-            none = F.lit(None).cast("string")
-            fresh = own.filter("op_kind = 'insert'").withColumn("__m", target).select(*[H.decode_cell(F.element_at("__m", f.name), f.dataType).alias(f.name) for f in schema], none.alias(E.BEFORE), none.alias(E.KEY), F.lit(True).alias(E.ALIVE), none.alias(E.FILE))
+            kept = joined.select(*cells, E.BEFORE, E.KEY, (F.col(E.ALIVE) & ~(hit & F.col("__aj").isNull())).alias(E.ALIVE), E.FILE, (F.col(E.TOUCHED) | hit).alias(E.TOUCHED))
+            fresh = own.filter("op_kind = 'insert'").withColumn("__m", target).select(*[H.decode_cell(F.element_at("__m", f.name), f.dataType).alias(f.name) for f in schema], *new_marks())
             work.rows[table] = kept.unionByName(fresh)
             if entry.get("sequence") is not None and len(entry["pk"]) == 1:
                 top = work.rows[table].filter(F.col(E.ALIVE)).agg(F.max(F.col(f"`{entry['pk'][0]}`"))).first()[0]

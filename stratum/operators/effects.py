@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import digest, encoded
 
-BEFORE, KEY, ALIVE, FILE = "__before", "__key", "__alive", "__file"
+BEFORE, KEY, ALIVE, FILE, TOUCHED = "__before", "__key", "__alive", "__file", "__touched"
 EFFECT = "table_name string, pk_json string, op_kind string, before_json string, after_json string, before_hash string, after_hash string, effect_index long"
 PHASE = {"delete": 0, "update": 1, "insert": 2}
 #: Effects that one task sorts and numbers.
@@ -27,9 +27,12 @@ def kind_of(before: Column, after: Column) -> Column:
 
 
 def changed_rows(rows: DataFrame, schema: T.StructType, pk: Sequence[str]) -> DataFrame:
-    """(pk_json, before_json, after_json, file) of rows that differ from what they began as."""
+    """(pk_json, before_json, after_json, file) of rows that differ from what they began as.
+
+    Only rows that some operation met are encoded at all; the predicate goes down to the scan.
+    """
     after = F.when(F.col(ALIVE), encoded(schema))
-    seen = rows.select(F.col(BEFORE), F.col(KEY), F.col(FILE), after.alias("__after"), encoded(schema, list(pk)).alias("__now"))
+    seen = rows.filter(F.col(TOUCHED)).select(F.col(BEFORE), F.col(KEY), F.col(FILE), after.alias("__after"), encoded(schema, list(pk)).alias("__now"))
     return seen.filter(~F.col(BEFORE).eqNullSafe(F.col("__after")))
 
 

@@ -1,13 +1,14 @@
 """A plan's working state: lazy tables and a manifest that nobody else sees until it is published.
 
 Every row of a working table carries the image it began with (``__before``), its key then (``__key``),
-whether it still stands (``__alive``) and the file that holds it (``__file``).  Operations add columns and
-filters; nothing runs until the changes are asked for.
+whether it still stands (``__alive``), the file that holds it (``__file``) and whether any operation met it
+(``__touched``).  Operations add columns and filters; nothing runs until the changes are asked for.
 """
 
 from __future__ import annotations
 
 import copy
+import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +21,9 @@ from ..functions.hashing import encoded
 from ..plans.sqltext import fold, mentions, normalize_sql
 from ..sources.storage import Storage
 from . import constraints
-from .effects import ALIVE, BEFORE, FILE, KEY
+from .effects import ALIVE, BEFORE, FILE, KEY, TOUCHED
 
-MARKS = (BEFORE, KEY, ALIVE, FILE)
+MARKS = (BEFORE, KEY, ALIVE, FILE, TOUCHED)
 
 
 def schema_of(entry: dict) -> T.StructType:
@@ -68,6 +69,22 @@ def where(values: dict[str, Any], schema: T.StructType) -> Column:
     return out
 
 
+def met(values: dict[str, Any], schema: T.StructType) -> Column:
+    """``where`` for a filter, in which null is as good as false: a form that scans can take over."""
+    kinds = {f.name: f.dataType for f in schema}
+    out = F.lit(True)
+    for name, value in values.items():
+        c = F.col(f"`{name}`")
+        out = out & (c.isNull() if value is None else c == literal(value, kinds[name], strict=False))
+    return out
+
+
+def new_marks() -> list[Column]:
+    """The marks of a row that no file holds yet."""
+    none = F.lit(None).cast("string")
+    return [none.alias(BEFORE), none.alias(KEY), F.lit(True).alias(ALIVE), none.alias(FILE), F.lit(True).alias(TOUCHED)]
+
+
 def resolve(names: Any, name: str) -> str:
     """Exact name, else the one that is equal by ASCII case folding."""
     if name in names:
@@ -85,6 +102,7 @@ class Work:
         self.rows: dict[str, DataFrame] = {}
         self.pending: dict[str, list[dict]] = {}
         self.whole: set[str] = set()  # tables whose checks concern all rows, not only changed ones
+        self.scratch: list[str] = []  # folders below the root that go when the work is over
 
     # -- tables ---------------------------------------------------------------------------------------
 
@@ -104,7 +122,7 @@ class Work:
             if any(f.startswith("snapshots/") for f in entry["files"]):
                 file = F.lit(None).cast("string")
             self.rows[table] = rows.select("*", file.alias(FILE)).select(
-                *[f"`{f.name}`" for f in schema], encoded(schema).alias(BEFORE), encoded(schema, entry["pk"]).alias(KEY), F.lit(True).alias(ALIVE), FILE
+                *[f"`{f.name}`" for f in schema], encoded(schema).alias(BEFORE), encoded(schema, entry["pk"]).alias(KEY), F.lit(True).alias(ALIVE), FILE, F.lit(False).alias(TOUCHED)
             )
         self._flush(table)
         return self.rows[table]
@@ -138,8 +156,7 @@ class Work:
         texts = [tuple(text(row.get(n), k) for n, k in kinds.items()) for row in buffered]
         frame = self.spark.createDataFrame(texts, T.StructType([T.StructField(n, T.StringType()) for n in kinds]))
         cells = [F.encode(f"`{n}`", "UTF-8").alias(n) if isinstance(k, T.BinaryType) else F.col(f"`{n}`").cast(k).alias(n) for n, k in kinds.items()]
-        none = F.lit(None).cast("string")
-        self.rows[table] = self.rows[table].unionByName(frame.select(*cells, none.alias(BEFORE), none.alias(KEY), F.lit(True).alias(ALIVE), none.alias(FILE)))
+        self.rows[table] = self.rows[table].unionByName(frame.select(*cells, *new_marks()))
 
     def _no_triggers(self, table: str) -> None:
         if self.manifest["tables"][table]["triggers"]:
@@ -170,30 +187,61 @@ class Work:
         hit = where(op["where"], schema) & F.col(ALIVE)
         if missing := sorted(set(op["values"]) - set(kinds)):
             raise EngineError("INVALID_OPERATION", f"no such column: {missing[0]}")
-        self.rows[table] = rows.withColumns({n: F.when(hit, literal(v, kinds[n])).otherwise(F.col(f"`{n}`")) for n, v in op["values"].items()})
+        cells = {n: F.when(hit, literal(v, kinds[n])).otherwise(F.col(f"`{n}`")) for n, v in op["values"].items()}
+        self.rows[table] = rows.withColumns(cells | {TOUCHED: F.col(TOUCHED) | met(op["where"], schema)})
 
     def delete(self, op: dict) -> None:
         table = self.name(op["table"])
         self._no_triggers(table)
-        rows = self.load(table)
-        hit = where(op["where"], schema_of(self.manifest["tables"][table])) & F.col(ALIVE)
-        self.rows[table] = rows.withColumn(ALIVE, F.col(ALIVE) & ~hit)
+        rows, schema = self.load(table), schema_of(self.manifest["tables"][table])
+        hit = where(op["where"], schema) & F.col(ALIVE)
+        self.rows[table] = rows.withColumns({ALIVE: F.col(ALIVE) & ~hit, TOUCHED: F.col(TOUCHED) | met(op["where"], schema)})
         self._cascade(table, rows.filter(hit))
 
     def _cascade(self, table: str, doomed: DataFrame) -> None:
+        """Delete what refers to ``doomed`` by a cascading reference, level by level.
+
+        The rows that fall on a level are written aside, so the plan stays as small on the last level as on the first.
+        """
+        pointing: dict[str, list[tuple[str, dict]]] = {}
         for child, entry in self.manifest["tables"].items():
             for fk in entry["fks"]:
-                if fold(fk["table"]) != fold(table) or fk.get("onDelete") != "CASCADE":
-                    continue
-                rows = self.load(child)
-                fall = constraints.cascade(rows.filter(F.col(ALIVE)), doomed, fk["columns"], fk["referenced"])
-                if fall.isEmpty():
-                    continue
-                keys = fall.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(entry["pk"])]).distinct().withColumn("__fall", F.lit(True))
-                on = [F.col(f"`{k}`") == F.col(f"__k{i}") for i, k in enumerate(entry["pk"])]
-                marked = rows.join(keys, on, "left")
-                self.rows[child] = marked.withColumn(ALIVE, F.col(ALIVE) & F.col("__fall").isNull()).select(*[f"`{c}`" for c in rows.columns])
-                self._cascade(child, fall)
+                if fk.get("onDelete") == "CASCADE":
+                    pointing.setdefault(fold(fk["table"]), []).append((child, fk))
+        if fold(table) not in pointing:
+            return
+        place = f"_log/scratch/{uuid.uuid4().hex}"
+        self.scratch.append(place)
+        fallen: dict[str, list[str]] = {}
+
+        def kept(name: str, folders: list[str]) -> DataFrame:
+            return self.spark.read.schema(schema_of(self.manifest["tables"][name])).parquet(*map(self.storage.path, folders))
+
+        level: dict[str, DataFrame] = {table: doomed}
+        while level:
+            found: dict[str, list[str]] = {}
+            for parent, gone in level.items():
+                for child, fk in pointing.get(fold(parent), ()):
+                    rows, pk = self.alive(child), [f"`{k}`" for k in self.manifest["tables"][child]["pk"]]
+                    if child in fallen:
+                        rows = rows.join(kept(child, fallen[child]).select(*pk), self.manifest["tables"][child]["pk"], "left_anti")
+                    folder = f"{place}/{sum(map(len, fallen.values()))}"
+                    constraints.cascade(rows.select(*[f"`{c}`" for c in self._names(child)]), gone, fk["columns"], fk["referenced"]).write.parquet(self.storage.path(folder))
+                    if not kept(child, [folder]).isEmpty():
+                        fallen.setdefault(child, []).append(folder)
+                        found.setdefault(child, []).append(folder)
+                    else:
+                        self.storage.delete(folder)
+            level = {child: kept(child, folders) for child, folders in found.items()}
+        for child, folders in fallen.items():
+            rows, pk = self.load(child), self.manifest["tables"][child]["pk"]
+            keys = kept(child, folders).select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(pk)]).distinct().withColumn("__fall", F.lit(True))
+            marked = rows.join(keys, [F.col(f"`{k}`") == F.col(f"__k{i}") for i, k in enumerate(pk)], "left")
+            fell = F.col("__fall").isNotNull()
+            self.rows[child] = marked.withColumns({ALIVE: F.col(ALIVE) & ~fell, TOUCHED: F.col(TOUCHED) | fell}).select(*[f"`{c}`" for c in rows.columns])
+
+    def _names(self, table: str) -> list[str]:
+        return [c["name"] for c in self.manifest["tables"][table]["columns"]]
 
     # -- schema ---------------------------------------------------------------------------------------
 
@@ -213,7 +261,7 @@ class Work:
             raise EngineError("APPLY_FAILED", "a column with a clock default can only be added to an empty table")
         value = literal(d["value"], kind) if d and d["kind"] == "literal" else F.lit(None).cast(kind)
         entry["columns"].append(c)
-        self.rows[table] = rows.withColumn(c["name"], value)
+        self.rows[table] = rows.withColumn(c["name"], value).withColumn(TOUCHED, F.lit(True))
 
     def drop_table(self, op: dict) -> None:
         table = self.name(op["table"])
@@ -251,7 +299,7 @@ class Work:
             raise EngineError("APPLY_FAILED", f"a check of {table} uses {column}")
         rows = self.load(table)
         entry["columns"] = [c for c in entry["columns"] if c["name"] != column]
-        self.rows[table] = rows.drop(column)
+        self.rows[table] = rows.drop(column).withColumn(TOUCHED, F.lit(True))
 
     def alter_column_type(self, op: dict) -> None:
         table = self.name(op["table"])
@@ -261,7 +309,7 @@ class Work:
         c = next(c for c in entry["columns"] if c["name"] == column)
         source, target = spark_type(c["type"]), spark_type(op["newType"])
         c["type"] = op["newType"]
-        self.rows[table] = rows.withColumn(column, cast_like(F.col(f"`{column}`"), source, target))
+        self.rows[table] = rows.withColumn(column, cast_like(F.col(f"`{column}`"), source, target)).withColumn(TOUCHED, F.lit(True))
         self.whole.add(table)
 
     def add_check(self, op: dict) -> None:

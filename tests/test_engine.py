@@ -298,3 +298,33 @@ def test_commits_of_any_size_replicate(spark, tmp_path, monkeypatch, rows, task_
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert first.table("t").filter("v = 'new'").count() == rows
+
+
+# -- plans of changes -----------------------------------------------------------------------------------
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_predicates_of_a_plan_reach_the_scan(engine, do, spark):
+    columns = [{"name": "id", "type": "INTEGER", "primaryKey": True}, {"name": "v", "type": "TEXT"}, {"name": "w", "type": "TEXT"}]
+    engine.define({"t": {"columns": columns, "pk": ["id"]}}, frames={"t": spark.range(100).selectExpr("id", "'a' AS v", "'b' AS w")})
+    work = engine._work(engine.manifest(), 0)
+    work.run({"type": "update", "table": "t", "values": {"w": "c"}, "where": {"id": 7}})
+    work.run({"type": "delete", "table": "t", "where": {"v": "z"}})
+    plan = physical(engine._changes(work)["t"])
+    assert "EqualTo(id,7)" in plan and "EqualTo(v,z)" in plan and "Or(" in plan
+    assert engine._changes(work)["t"].count() == 1
+
+
+def test_cascades_of_many_levels(engine, do, spark):
+    columns = [{"name": "id", "type": "INTEGER", "primaryKey": True}, {"name": "parent", "type": "INTEGER"}]
+    fk = {"columns": ["parent"], "table": "T", "referenced": ["id"], "onDelete": "CASCADE"}
+    rows = [(k, k - 1 if k % 50 else None) for k in range(60)]
+    engine.define({"t": {"columns": columns, "pk": ["id"], "fks": [fk]}}, frames={"t": spark.createDataFrame(rows, "id long, parent long")})
+    commit = do({"type": "delete", "table": "t", "where": {"id": 44}})
+    assert commit["rowEffectCount"] == 6 and sorted(r.id for r in engine.table("t").collect()) == [*range(44), *range(50, 60)]
+    assert engine.storage.list("_log/scratch") == []
+    do({"type": "delete", "table": "t", "where": {"id": 50}}, {"type": "insert", "table": "t", "values": {"id": 50, "parent": 3}})
+    assert sorted(r.id for r in engine.table("t").collect()) == [*range(44), 50]
