@@ -73,25 +73,28 @@ def effect_order(ranks: dict[str, int]) -> list[Column]:
     return [phase, F.when(F.col("op_kind") == "delete", -rank).otherwise(rank), F.col("table_name"), F.col("pk_json")]
 
 
-def number_effects(effects: DataFrame, ranks: dict[str, int], count: int, scratch: str) -> DataFrame:
-    """``effect_index`` from 0 without gaps, at any size: sorted ranges number their own rows and then add what lies before them.
+def number_rows(rows: DataFrame, order: Sequence[Column], count: int, scratch: str, name: str) -> DataFrame:
+    """``rows`` numbered from 0 without gaps, at any size: sorted ranges number their own and then add what lies before them.
 
     More than one range is kept at ``scratch`` in between, so that a lost executor can't draw the ranges anew.
     """
-    order = effect_order(ranks)
     ranges = -(-count // TASK_EFFECTS)
-    local = effects.repartitionByRange(max(1, ranges), *order).sortWithinPartitions(*order).withColumn("effect_index", F.monotonically_increasing_id())
+    local = rows.repartitionByRange(max(1, ranges), *order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
     if ranges < 2:
         return local
     local.write.mode("overwrite").parquet(scratch)
-    local = effects.sparkSession.read.schema(local.schema).parquet(scratch).withColumn("__range", F.shiftright("effect_index", 33))
+    local = rows.sparkSession.read.schema(local.schema).parquet(scratch).withColumn("__range", F.shiftright(name, 33))
     counts = sorted(local.groupBy("__range").agg(F.count("*")).collect())  # one row a range
     before, offsets = 0, []
     for at, n in counts:
         offsets.append((at, before - (at << 33)))
         before += n
-    found = effects.sparkSession.createDataFrame(offsets, "__range long, __offset long")
-    return local.join(F.broadcast(found), "__range").withColumn("effect_index", F.col("effect_index") + F.col("__offset")).drop("__range", "__offset")
+    found = rows.sparkSession.createDataFrame(offsets, "__range long, __offset long")
+    return local.join(F.broadcast(found), "__range").withColumn(name, F.col(name) + F.col("__offset")).drop("__range", "__offset")
+
+
+def number_effects(effects: DataFrame, ranks: dict[str, int], count: int, scratch: str) -> DataFrame:
+    return number_rows(effects, effect_order(ranks), count, scratch, "effect_index")
 
 
 def diff(before: DataFrame, after: DataFrame, pk: Sequence[str], table: str = "t") -> DataFrame:

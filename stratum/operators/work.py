@@ -11,6 +11,7 @@ import copy
 import uuid
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,8 @@ from ..functions.hashing import encoded
 from ..plans.sqltext import fold, mentions, normalize_sql
 from ..sources.storage import Storage
 from . import constraints
-from .effects import ALIVE, BEFORE, FILE, KEY, TOUCHED
+from .effects import ALIVE, BEFORE, FILE, KEY, TOUCHED, number_rows
+from .triggers import Statement, added, names_of, read_trigger
 
 MARKS = (BEFORE, KEY, ALIVE, FILE, TOUCHED)
 
@@ -103,6 +105,7 @@ class Work:
         self.pending: dict[str, list[dict]] = {}
         self.whole: set[str] = set()  # tables whose checks concern all rows, not only changed ones
         self.scratch: list[str] = []  # folders below the root that go when the work is over
+        self.firing: list[str] = []  # triggers that are being run
 
     # -- tables ---------------------------------------------------------------------------------------
 
@@ -157,16 +160,104 @@ class Work:
         frame = self.spark.createDataFrame(texts, T.StructType([T.StructField(n, T.StringType()) for n in kinds]))
         cells = [F.encode(f"`{n}`", "UTF-8").alias(n) if isinstance(k, T.BinaryType) else F.col(f"`{n}`").cast(k).alias(n) for n, k in kinds.items()]
         self.rows[table] = self.rows[table].unionByName(frame.select(*cells, *new_marks()))
-
-    def _no_triggers(self, table: str) -> None:
-        if self.manifest["tables"][table]["triggers"]:
-            raise EngineError("UNSUPPORTED", f"{table} has triggers, which are kept but not run")
+        if entry["triggers"]:
+            self._fire(table, "insert", frame.select(*cells).select(self._image(table).alias("new")))
+
+    # -- triggers -------------------------------------------------------------------------------------
+
+    def _image(self, table: str, cells: dict[str, Column] | None = None) -> Column:
+        return F.struct(*[(cells or {}).get(c, F.col(f"`{c}`")).alias(c) for c in self._names(table)])
+
+    def _fire(self, table: str, event: str, rows: DataFrame, columns: Any = ()) -> None:
+        """Run the triggers of ``table`` on the rows (new, old) that an operation met; none fires within itself."""
+        for t in self.manifest["tables"][table]["triggers"]:
+            trigger = read_trigger(t["sql"])
+            if trigger.event != event or t["name"] in self.firing:
+                continue
+            if trigger.columns is not None and not {fold(c) for c in trigger.columns} & {fold(c) for c in columns}:
+                continue
+            self.firing.append(t["name"])
+            try:
+                met_rows = rows.filter(F.expr(trigger.when)) if trigger.when else rows
+                for statement in trigger.statements:
+                    getattr(self, f"_{statement.kind}_fired")(self.name(statement.table), statement, met_rows)
+            except EngineError:
+                raise
+            except AnalysisException as e:
+                raise EngineError("UNSUPPORTED", f"trigger {t['name']}: {str(e).splitlines()[0]}") from e
+            finally:
+                self.firing.pop()
+
+    def _insert_fired(self, table: str, statement: Statement, rows: DataFrame) -> None:
+        entry, schema = self.manifest["tables"][table], schema_of(self.manifest["tables"][table])
+        self.load(table)
+        given = {self._column(entry, n): F.expr(x) for n, x in statement.cells.items()}
+        cells = []
+        for c, f in zip(entry["columns"], schema, strict=True):
+            if c["name"] in given:
+                cells.append(given[c["name"]].cast(f.dataType).alias(f.name))
+            else:
+                d = c.get("default")
+                cells.append((literal(d["value"] if d["kind"] == "literal" else self.clock[d["expr"]], f.dataType) if d else F.lit(None).cast(f.dataType)).alias(f.name))
+        frame = rows.select(*cells)
+        key = entry["pk"][0] if len(entry["pk"]) == 1 and isinstance(schema[entry["pk"][0]].dataType, T.LongType) else None
+        if key and key not in given:
+            count = frame.count()
+            top = max(self.rows[table].filter(F.col(ALIVE)).agg(F.max(f"`{key}`")).first()[0] or 0, entry.get("sequence") or 0)
+            place = f"_log/scratch/{uuid.uuid4().hex}"
+            self.scratch.append(place)
+            order = [F.col(f"`{f.name}`") for f in schema if f.name != key]
+            frame = number_rows(frame, order, count, self.storage.path(place), "__n").withColumn(key, F.col("__n") + top + 1).drop("__n")
+            if entry.get("sequence") is not None:
+                entry["sequence"] = top + count
+        self.rows[table] = self.rows[table].unionByName(frame.select(*[f"`{f.name}`" for f in schema], *new_marks()))
+        self._fire(table, "insert", frame.select(self._image(table).alias("new")))
+
+    def _update_fired(self, table: str, statement: Statement, rows: DataFrame) -> None:
+        entry, schema, names = self.manifest["tables"][table], schema_of(self.manifest["tables"][table]), self._names(table)
+        keys = [f"`{k}`" for k in entry["pk"]]
+        pairs = self.alive(table).join(rows, F.expr(statement.where))
+        sums, once = [], False
+        for k, (n, x) in enumerate(statement.cells.items()):
+            more = added(self._column(entry, n), x)
+            if more is not None and not names_of(more, names):
+                sums.append(F.sum(F.expr(more)).alias(f"__s{k}"))
+            else:
+                once |= bool(names_of(x, names))
+                sums.append(F.max_by(F.expr(x), F.to_json(F.struct(*[c for c in ("new", "old") if c in rows.columns]))).alias(f"__s{k}"))
+        found = pairs.groupBy(*keys).agg(F.count("*").alias("__times"), *sums)
+        if once and not found.filter("__times > 1").isEmpty():
+            raise EngineError("UNSUPPORTED", f"a trigger changes one row of {table} several times by an expression of its own cells")
+        found = found.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__times", *[f"__s{k}" for k in range(len(sums))])
+        here = self.load(table)
+        joined = here.join(found, [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)], "left")
+        hit = F.col("__times").isNotNull() & F.col(ALIVE)
+        cells = {}
+        for k, (n, x) in enumerate(statement.cells.items()):
+            c = self._column(entry, n)
+            more = added(c, x)
+            value = F.col(f"`{c}`") + F.col(f"__s{k}") if more is not None and not names_of(more, names) else F.col(f"__s{k}")
+            cells[c] = F.when(hit, value.cast(schema[c].dataType)).otherwise(F.col(f"`{c}`"))
+        fired = joined.filter(hit).select(self._image(table).alias("old"), self._image(table, cells).alias("new"))
+        out = joined.withColumns({TOUCHED: F.col(TOUCHED) | hit} | {f"__c{k}": x for k, x in enumerate(cells.values())})
+        self.rows[table] = out.select(*[F.col(f"__c{list(cells).index(c)}").alias(c) if c in cells else F.col(f"`{c}`") for c in here.columns])
+        self._fire(table, "update", fired, list(cells))
+
+    def _delete_fired(self, table: str, statement: Statement, rows: DataFrame) -> None:
+        keys = [f"`{k}`" for k in self.manifest["tables"][table]["pk"]]
+        gone = self.alive(table).join(rows, F.expr(statement.where), "left_semi")
+        found = gone.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).withColumn("__gone", F.lit(True))
+        here = self.load(table)
+        joined = here.join(found, [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)], "left")
+        hit = F.col("__gone").isNotNull() & F.col(ALIVE)
+        self.rows[table] = joined.withColumns({ALIVE: F.col(ALIVE) & ~hit, TOUCHED: F.col(TOUCHED) | hit}).select(*[f"`{c}`" for c in here.columns])
+        self._cascade(table, gone)
+        self._fire(table, "delete", gone.select(self._image(table).alias("old")))
 
     # -- rows -----------------------------------------------------------------------------------------
 
     def insert(self, op: dict) -> None:
         table = self.name(op["table"])
-        self._no_triggers(table)
         entry = self.manifest["tables"][table]
         names = {c["name"] for c in entry["columns"]}
         if missing := sorted(set(op["values"]) - names):
@@ -181,7 +272,6 @@ class Work:
 
     def update(self, op: dict) -> None:
         table = self.name(op["table"])
-        self._no_triggers(table)
         rows, schema = self.load(table), schema_of(self.manifest["tables"][table])
         kinds = {f.name: f.dataType for f in schema}
         hit = where(op["where"], schema) & F.col(ALIVE)
@@ -189,14 +279,16 @@ class Work:
             raise EngineError("INVALID_OPERATION", f"no such column: {missing[0]}")
         cells = {n: F.when(hit, literal(v, kinds[n])).otherwise(F.col(f"`{n}`")) for n, v in op["values"].items()}
         self.rows[table] = rows.withColumns(cells | {TOUCHED: F.col(TOUCHED) | met(op["where"], schema)})
+        if self.manifest["tables"][table]["triggers"]:
+            self._fire(table, "update", rows.filter(hit).select(self._image(table).alias("old"), self._image(table, cells).alias("new")), op["values"])
 
     def delete(self, op: dict) -> None:
         table = self.name(op["table"])
-        self._no_triggers(table)
         rows, schema = self.load(table), schema_of(self.manifest["tables"][table])
         hit = where(op["where"], schema) & F.col(ALIVE)
         self.rows[table] = rows.withColumns({ALIVE: F.col(ALIVE) & ~hit, TOUCHED: F.col(TOUCHED) | met(op["where"], schema)})
         self._cascade(table, rows.filter(hit))
+        self._fire(table, "delete", rows.filter(hit).select(self._image(table).alias("old")))
 
     def _cascade(self, table: str, doomed: DataFrame) -> None:
         """Delete what refers to ``doomed`` by a cascading reference, level by level.
@@ -239,6 +331,8 @@ class Work:
             marked = rows.join(keys, [F.col(f"`{k}`") == F.col(f"__k{i}") for i, k in enumerate(pk)], "left")
             fell = F.col("__fall").isNotNull()
             self.rows[child] = marked.withColumns({ALIVE: F.col(ALIVE) & ~fell, TOUCHED: F.col(TOUCHED) | fell}).select(*[f"`{c}`" for c in rows.columns])
+        for child, folders in fallen.items():
+            self._fire(child, "delete", kept(child, folders).select(self._image(child).alias("old")))
 
     def _names(self, table: str) -> list[str]:
         return [c["name"] for c in self.manifest["tables"][table]["columns"]]
@@ -357,6 +451,9 @@ class Work:
             self.manifest["tables"][table] = copy.deepcopy(entry)
 
     def run(self, op: dict) -> None:
+        for table in list(self.pending):  # what an insertion fires comes before the next operation
+            if self.manifest["tables"][table]["triggers"] and not (op["type"] == "insert" and self.name(op["table"]) == table):
+                self.load(table)
         getattr(self, op["type"])(op)
 
     # -- helpers --------------------------------------------------------------------------------------

@@ -328,3 +328,73 @@ def test_cascades_of_many_levels(engine, do, spark):
     assert engine.storage.list("_log/scratch") == []
     do({"type": "delete", "table": "t", "where": {"id": 50}}, {"type": "insert", "table": "t", "values": {"id": 50, "parent": 3}})
     assert sorted(r.id for r in engine.table("t").collect()) == [*range(44), 50]
+
+
+# -- triggers -------------------------------------------------------------------------------------------
+
+INT, TEXT = {"type": "INTEGER"}, {"type": "TEXT"}
+
+
+def bank(engine, spark, *triggers):
+    """account(id, balance), ledger(id, account_id, amount) and audit(id, note), with triggers by table."""
+    made = {
+        "account": ([{"name": "id", "primaryKey": True, **INT}, {"name": "balance", **INT}], [(1, 0), (2, 10)], "id long, balance long"),
+        "ledger": ([{"name": "id", "primaryKey": True, **INT}, {"name": "account_id", **INT}, {"name": "amount", **INT}], [], "id long, account_id long, amount long"),
+        "audit": ([{"name": "id", "primaryKey": True, **INT}, {"name": "note", **TEXT}], [], "id long, note string"),
+    }
+    tables = {n: {"columns": c, "pk": ["id"], "triggers": [{"name": f"{n}{k}", "sql": sql} for k, (t, sql) in enumerate(triggers) if t == n]} for n, (c, _, _) in made.items()}
+    engine.define(tables, frames={n: spark.createDataFrame(rows, form) for n, (_, rows, form) in made.items()})
+
+
+def rows_of(engine, name):
+    return sorted(tuple(r) for r in engine.table(name).collect())
+
+
+ADD = ("ledger", "CREATE TRIGGER t AFTER INSERT ON ledger FOR EACH ROW BEGIN UPDATE account SET balance = balance + NEW.amount WHERE id = NEW.account_id; END")
+
+
+def test_insertions_fire(engine, do, spark, tmp_path):
+    bank(engine, spark, ADD)
+    commit = do(*[{"type": "insert", "table": "ledger", "values": {"account_id": k % 2 + 1, "amount": 5 + k}} for k in range(4)])
+    assert rows_of(engine, "account") == [(1, 12), (2, 24)] and commit["rowEffectCount"] == 6
+    assert [r.table_name for r in engine.commit_effects(commit).select("table_name").collect()].count("account") == 2
+    remote = Replica(engine, str(tmp_path / "remote"))
+    remote.push()  # the effects travel; nothing fires again
+    assert rows_of(Engine.open(spark, str(tmp_path / "remote")), "account") == [(1, 12), (2, 24)]
+    assert engine.revert(commit["commitId"])["ok"] and rows_of(engine, "account") == [(1, 0), (2, 10)] and rows_of(engine, "ledger") == []
+
+
+def test_updates_and_deletions_fire(engine, do, spark):
+    bank(
+        engine, spark, ADD,
+        ("account", "CREATE TRIGGER a AFTER UPDATE OF balance ON account WHEN NEW.balance <> OLD.balance BEGIN INSERT INTO audit (note) VALUES ('a' || NEW.id || ':' || OLD.balance || '->' || NEW.balance); END"),
+        ("ledger", "CREATE TRIGGER d AFTER DELETE ON \"ledger\" BEGIN UPDATE account SET balance = balance - OLD.amount WHERE id = OLD.account_id; DELETE FROM audit WHERE note LIKE 'a' || OLD.account_id || ':%'; END"),
+    )
+    do({"type": "insert", "table": "ledger", "values": {"account_id": 1, "amount": 7}}, {"type": "update", "table": "account", "values": {"balance": 10}, "where": {"id": 2}})
+    assert rows_of(engine, "account") == [(1, 7), (2, 10)] and rows_of(engine, "audit") == [(1, "a1:0->7")]
+    do({"type": "delete", "table": "ledger", "where": {"account_id": 1}})
+    assert rows_of(engine, "account") == [(1, 0), (2, 10)] and rows_of(engine, "audit") == []
+    do({"type": "drop_trigger", "table": "ledger", "name": "ledger0"})
+    do({"type": "insert", "table": "ledger", "values": {"account_id": 1, "amount": 7}})
+    assert rows_of(engine, "account") == [(1, 0), (2, 10)]
+
+
+def test_triggers_that_cannot_be_run(engine, do, spark):
+    bank(
+        engine, spark,
+        ("ledger", "CREATE TRIGGER b AFTER INSERT ON ledger BEGIN UPDATE account SET balance = balance * NEW.amount WHERE id = NEW.account_id; END"),
+        ("audit", "CREATE TRIGGER c BEFORE INSERT ON audit BEGIN DELETE FROM account; END"),
+    )
+    do({"type": "insert", "table": "ledger", "values": {"account_id": 2, "amount": 3}})
+    assert rows_of(engine, "account") == [(1, 0), (2, 30)]
+    for table, values in (("audit", [{"note": "x"}]), ("ledger", [{"account_id": 2, "amount": 3}] * 2)):
+        with pytest.raises(EngineError) as e:
+            do(*[{"type": "insert", "table": table, "values": v} for v in values])
+        assert e.value.code == "UNSUPPORTED"
+    assert rows_of(engine, "account") == [(1, 0), (2, 30)]
+
+
+def test_a_trigger_does_not_fire_within_itself(engine, do, spark):
+    bank(engine, spark, ("audit", "CREATE TRIGGER s AFTER INSERT ON audit BEGIN INSERT INTO audit (id, note) VALUES (NEW.id + 100, 'copy; of -- ' || NEW.note); END"))
+    do({"type": "insert", "table": "audit", "values": {"note": "x"}}, {"type": "insert", "table": "audit", "values": {"note": "y"}})
+    assert rows_of(engine, "audit") == [(1, "x"), (2, "y"), (101, "copy; of -- x"), (102, "copy; of -- y")]
