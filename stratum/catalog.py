@@ -585,6 +585,145 @@ def recovered(spark, d):
     return copy.table("orders")
 
 
+@query("log_tables", LOG_SQL + "SELECT CAST(seq AS BIGINT) AS seq, tables FROM log")
+def log_tables(spark, d):
+    """Tables that each commit touched, in order of name."""
+    return summaries(audited(spark, d).commits_df()).select("seq", F.array_join("affectedTables", ",").alias("tables"))
+
+
+@query(
+    "log_objects",
+    """SELECT CAST(seq AS BIGINT) AS seq, tables, CAST(checks AS BIGINT) AS checks, CAST(indexes AS BIGINT) AS indexes, views FROM (VALUES
+    (3, 'orders', 0, 0, ''), (4, 'orders', 1, 0, ''), (5, 'orders', 0, 0, ''), (6, 'orders', 0, 1, 'open_orders'), (7, 'orders', 0, 0, ''), (8, 'note,orders', 0, 0, ''), (10, 'orders', 0, 0, ''))
+    AS t(seq, tables, checks, indexes, views)""",
+)
+def log_objects(spark, d):
+    """What is defined after a check, an index, a view or a table was added or dropped."""
+    engine, out = audited(spark, d), []
+    for seq in (3, 4, 5, 6, 7, 8, 10):
+        m = engine.commit_at(seq)["manifest"]
+        out.append((seq, ",".join(sorted(m["tables"])), len(m["tables"]["orders"]["checks"]), len(m["tables"]["orders"]["indexes"]), ",".join(m["views"])))
+    return spark.createDataFrame(out, "seq long, tables string, checks long, indexes long, views string")
+
+
+@query("log_schema_hashes", "SELECT CAST(seq AS BIGINT) AS seq, same FROM (VALUES (2, true), (3, true), (4, false), (5, true), (6, false), (7, true), (8, false), (10, true), (11, true)) AS t(seq, same)")
+def log_schema_hashes(spark, d):
+    """Is the schema after a commit what it was after the first?"""
+    engine = audited(spark, d)
+    first = engine.commit_at(1)["schemaHashAfter"]
+    rows = [(seq, engine.commit_at(seq)["schemaHashAfter"] == first) for seq in (2, 3, 4, 5, 6, 7, 8, 10, 11)]
+    return spark.createDataFrame(rows, "seq long, same boolean")
+
+
+@query("log_state_hashes", "SELECT * FROM (VALUES (true, true, false)) AS t(undone, carried, unchanged)")
+def log_state_hashes(spark, d):
+    """States after the revert and before the deletion are one; schema commits carry the state; the update changed it."""
+    engine = audited(spark, d)
+    h = {seq: engine.commit_at(seq)["stateHashAfter"] for seq in (1, 2, 3, 7, 11)}
+    return spark.createDataFrame([(h[11] == h[2], h[3] == h[7], h[1] == h[2])], "undone boolean, carried boolean, unchanged boolean")
+
+
+@query("remote_state", "SELECT CAST(11 AS BIGINT) AS seq, true AS same, 'synced' AS state, CAST(0 AS BIGINT) AS ahead, '6,7,8,9,10,11' AS fetched")
+def remote_state(spark, d):
+    """What a replica knows of its remote after a push, and the commits it would fetch after the fifth."""
+    engine = audited(spark, d)
+    remote = Replica(engine, scratch_root(spark, "state"))
+    remote.push()
+    state, status = remote.remote_state(), remote.status()
+    row = (state["seq"], state["commitId"] == engine.head()["commitId"], status["state"], status["pendingPush"], ",".join(str(c["seq"]) for c in remote.fetch(5)))
+    return spark.createDataFrame([row], "seq long, same boolean, state string, ahead long, fetched string")
+
+
+@query("projection_rebuilt", WITH + FINAL)
+def projection_rebuilt(spark, d):
+    """The remote's tables made anew from the log."""
+    remote = scratch_root(spark, "rebuilt")
+    found = Replica(audited(spark, d), remote).rebuild_projection()
+    if not found["ok"]:
+        raise AssertionError(found["issues"])
+    return Engine.open(spark, remote).table("orders")
+
+
+@query("meta_values", "SELECT CAST(1 AS BIGINT) AS format_version, true AS initialized, 'orders' AS tables, CAST(NULL AS VARCHAR) AS missing")
+def meta_values(spark, d):
+    engine = Engine.open(spark, audited(spark, d).storage.root)
+    row = (engine.meta("format_version"), engine.is_initialized(), ",".join(engine.manifest()["tables"]), engine.meta("no such key"))
+    return spark.createDataFrame([row], "format_version long, initialized boolean, tables string, missing string")
+
+
+@query(
+    "trigger_effects",
+    "SELECT CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'P', 0",
+)
+def trigger_effects(spark, d):
+    """Counts by status, kept up by a trigger while every order of one status changes to another."""
+    engine = Engine.init(spark, scratch_root(spark, "fired"))
+    rows = orders(spark, d)
+    tally = rows.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n")).unionAll(spark.createDataFrame([("X", 0)], "status string, n long"))
+    sql = "CREATE TRIGGER tallied AFTER UPDATE OF o_orderstatus ON orders BEGIN UPDATE tally SET n = n + 1 WHERE status = NEW.o_orderstatus; UPDATE tally SET n = n - 1 WHERE status = OLD.o_orderstatus; END"
+    columns = [{"name": n, "type": t} | ({"primaryKey": True} if n == "o_orderkey" else {}) for n, t in ORDER_TYPES.items()]
+    counted = [{"name": "status", "type": "TEXT", "primaryKey": True}, {"name": "n", "type": "INTEGER"}]
+    engine.define({"orders": {"columns": columns, "pk": ["o_orderkey"], "triggers": [{"name": "tallied", "sql": sql}]}, "tally": {"columns": counted, "pk": ["status"]}}, frames={"orders": rows, "tally": tally})
+    engine.apply({"baseSchemaHash": engine.schema_hash(), "message": "fire", "operations": [UPDATE]})
+    return engine.table("tally")
+
+
+@query(
+    "fk_cascade_levels",
+    """SELECT 'region' AS t, count(*) AS n FROM region WHERE r_regionkey <> 1 UNION ALL SELECT 'nation', count(*) FROM nation WHERE n_regionkey <> 1
+    UNION ALL SELECT 'customer', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 1""",
+)
+def fk_cascade_levels(spark, d):
+    """A region deleted with its nations and their customers."""
+    engine = Engine.init(spark, scratch_root(spark, "levels"))
+    keys = {"region": ("r_regionkey", None, None), "nation": ("n_nationkey", "n_regionkey", "region"), "customer": ("c_custkey", "c_nationkey", "nation")}
+    tables, frames = {}, {}
+    for name, (pk, fk, parent) in keys.items():
+        columns = [{"name": pk, "type": "INTEGER", "primaryKey": True}] + ([{"name": fk, "type": "INTEGER"}] if fk else [])
+        fks = [{"columns": [fk], "table": parent, "referenced": [keys[parent][0]], "onDelete": "CASCADE"}] if fk else []
+        tables[name], frames[name] = {"columns": columns, "pk": [pk], "fks": fks}, table(spark, d, name).select(*[c["name"] for c in columns])
+    engine.define(tables, frames=frames)
+    engine.apply({"baseSchemaHash": engine.schema_hash(), "message": "delete", "operations": [{"type": "delete", "table": "region", "where": {"r_regionkey": 1}}]})
+    out = [engine.table(n).agg(F.lit(n).alias("t"), F.count("*").alias("n")) for n in keys]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+@query("partial_unique", "SELECT false AS ok, 'APPLY_FAILED' AS errors UNION ALL SELECT true, ''")
+def partial_unique(spark, d):
+    """A unique index over open orders alone: one more open order of a customer fails, a finished one doesn't."""
+    engine = Engine.init(spark, scratch_root(spark, "partial"))
+    columns = [{"name": n, "type": t} | ({"primaryKey": True} if n == "o_orderkey" else {}) for n, t in ORDER_TYPES.items()]
+    first = orders(spark, d).filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    rows = orders(spark, d).join(first.select("o_orderkey"), "o_orderkey", "left_semi")
+    index = {"name": "one_open", "columns": ["o_custkey"], "unique": True, "where": "o_orderstatus = 'O'"}
+    engine.define({"orders": {"columns": columns, "pk": ["o_orderkey"], "indexes": [index]}}, frames={"orders": rows})
+    customer = rows.select("o_custkey").first()[0]
+    return _checked(engine, *[({"type": "insert", "table": "orders", "values": {"o_custkey": customer, "o_orderstatus": s}},) for s in ("O", "F")]).select("ok", "errors")
+
+
+@query("canonical_digest", """SELECT r_regionkey, sha256('{"a":[1,null,true],"b":"' || r_name || '","é":2.5}') AS h FROM region""")
+def canonical_digest(spark, d):
+    """Digests of values in canonical form, keys in order."""
+    rows = [(r.r_regionkey, H.sha256_hex({"é": 2.5, "b": r.r_name, "a": [1, None, True]})) for r in table(spark, d, "region").collect()]  # five regions
+    return spark.createDataFrame(rows, "r_regionkey int, h string")
+
+
+@query("dependency_ranks", "SELECT * FROM (VALUES ('region', CAST(0 AS BIGINT)), ('nation', 1), ('customer', 2), ('orders', 3), ('lineitem', 4)) AS t(t, place)")
+def dependency_ranks(spark, d):
+    """Parents before children."""
+    order = E.dependency_order(["customer", "lineitem", "nation", "orders", "region"], {"customer": {"nation"}, "lineitem": {"orders"}, "nation": {"region"}, "orders": {"customer"}})
+    return spark.createDataFrame([(t, k) for k, t in enumerate(order)], "t string, place long")
+
+
+@query("compat_text", "SELECT c_custkey, CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT) AS n, c_name[1:3] AS head, c_name LIKE '%#%1' AS fits, CAST(0 AS BIGINT) AS none FROM customer")
+def compat_text(spark, d):
+    digits = F.regexp_replace("c_name", "^[^0-9]*", "")
+    return table(spark, d, "customer").select(
+        "c_custkey", compat.to_integer(F.concat(F.lit(" "), digits, F.lit("x"))).alias("n"), compat.substr(F.col("c_name"), 0, 4).alias("head"),
+        compat.glob(F.col("c_name"), "*#*1").alias("fits"), compat.to_integer(F.col("c_mktsegment")).alias("none"),
+    )
+
+
 @query("read_log", LOG_SQL + "SELECT kind, count(*) AS n, CAST(sum(row_effects) AS BIGINT) AS row_effects FROM log GROUP BY 1")
 def read_log(spark, d):
     """The log by guarded SQL."""
@@ -715,3 +854,8 @@ read_query("read_total", "SELECT o_orderstatus, round(coalesce(sum(o_totalprice)
 read_query("read_null_safe", "SELECT a.doc_id FROM documents a WHERE NULLIF(a.lang, 'en') IS DISTINCT FROM NULLIF(a.lang, 'de')")
 read_query("read_divide", "SELECT o_orderkey, try_divide(o_totalprice, o_orderkey % 3) AS q FROM orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice / (o_orderkey % 3) END AS q FROM orders")
 read_query("read_histogram", "SELECT width_bucket(o_totalprice, 0, 500000, 10) AS b, count(*) AS n FROM orders GROUP BY 1", "SELECT CAST(CASE WHEN o_totalprice < 0 THEN 0 WHEN o_totalprice >= 500000 THEN 11 ELSE floor(o_totalprice / 50000) + 1 END AS BIGINT) AS b, count(*) AS n FROM orders GROUP BY 1")
+read_query("read_natural", "SELECT lang, count(*) AS n, sum(quality) AS good FROM documents NATURAL JOIN labels GROUP BY lang")
+read_query("read_percentile", "SELECT o_orderstatus, percentile(o_totalprice, 0.5) AS median FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, quantile_cont(o_totalprice, 0.5) AS median FROM orders GROUP BY o_orderstatus")
+read_query("read_nested", "SELECT doc_id, size(split(text, ' ')) AS pieces, element_at(split(lang, ''), 1) AS l, named_struct('a', doc_id, 'b', lang).b AS b, map('k', n_chars)['k'] AS k FROM documents", "SELECT doc_id, CAST(len(string_split(text, ' ')) AS INT) AS pieces, lang[1:1] AS l, lang AS b, n_chars AS k FROM documents")
+read_query("read_sessions", "SELECT conv_id, count(*) AS turns, max(length(text)) AS longest, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id")
+read_query("read_lateral", "SELECT o.o_orderkey, t.n FROM orders o JOIN LATERAL (SELECT count(*) AS n FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) t ON true")

@@ -224,8 +224,10 @@ class Engine:
             for c in entry["columns"]:
                 if c.get("notNull"):
                     fail(constraints.null_keys(new, [c["name"]]), f"NOT NULL constraint failed: {table}.{c['name']}")
-            for unique in [[c["name"]] for c in entry["columns"] if c.get("unique")] + [i["columns"] for i in entry["indexes"] if i.get("unique") and not i.get("where")]:
-                fail(constraints.duplicate_keys(alive, unique, None if whole else new), f"UNIQUE constraint failed: {table}.{unique[0]}")
+            uniques = [([c["name"]], None) for c in entry["columns"] if c.get("unique")] + [(i["columns"], i.get("where")) for i in entry["indexes"] if i.get("unique")]
+            for unique, only in uniques:
+                among, changed_keys = (alive.filter(F.expr(only)), new.filter(F.expr(only))) if only else (alive, new)
+                fail(constraints.duplicate_keys(among, unique, None if whole else changed_keys), f"UNIQUE constraint failed: {table}.{unique[0]}")
             for expression in entry["checks"]:
                 try:
                     fail(constraints.check_failures(new, expression), f"CHECK constraint failed: {expression}")

@@ -298,8 +298,11 @@ class Work:
         pointing: dict[str, list[tuple[str, dict]]] = {}
         for child, entry in self.manifest["tables"].items():
             for fk in entry["fks"]:
-                if fk.get("onDelete") == "CASCADE":
+                action = (fk.get("onDelete") or "").upper()
+                if action == "CASCADE":
                     pointing.setdefault(fold(fk["table"]), []).append((child, fk))
+                elif action in ("SET NULL", "SET DEFAULT") and fold(fk["table"]) == fold(table) and not constraints.cascade(self.alive(child), doomed, fk["columns"], fk["referenced"]).isEmpty():
+                    raise EngineError("UNSUPPORTED", f"{child} refers to {table} with ON DELETE {action}, which is not run")
         if fold(table) not in pointing:
             return
         place = f"_log/scratch/{uuid.uuid4().hex}"

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from ..errors import EngineError
 
-SCHEMES = ("file", "hdfs", "viewfs", "s3a", "abfs", "abfss", "gs")
+#: File systems on which creating an object without overwriting is one atomic step.
+SCHEMES = ("file", "hdfs", "viewfs", "abfs", "abfss", "gs")
 
 
 def check_url(url: str) -> str:
