@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .shared import materialize, table, utf8_bytes
+from .shared import discard, materialize, table, utf8_bytes
 
 #: Bits by which a hash range is split, and the share of a shard from which a group counts as large.
 SPLIT_BITS, LARGE_SHARE = 12, 64
@@ -200,6 +200,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text") -> Dat
     rows = materialize(rows, "shard-rows")
     groups = materialize(rows.groupBy("h").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "shard-groups")
     placed, bounds, _ = plan_shards(groups, shards)
+    discard(groups)
     n_rows = rows.count()
     put = rows.withColumn("shard", shard_of(F.col("h"), placed, bounds))
     return number_slots(put, n_rows, shards)

@@ -706,6 +706,23 @@ def licences(text):
 MIT, APACHE, GPL = (license_scan.TEMPLATES[k] for k in ("MIT", "Apache-2.0", "GPL-3.0"))
 
 
+def test_licences_against_a_plain_search(spark):
+    """Every verbatim notice of whole tables, found by a search of its words, lies in a reported block of that licence."""
+    plain = {k: re.compile(r"(?<![A-Za-z0-9])" + r"[^A-Za-z0-9]+".join(re.escape(w) for w in re.findall(r"[A-Za-z0-9]+", v)) + r"(?![A-Za-z0-9])", re.I) for k, v in license_scan.TEMPLATES.items()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: r.blocks for r in license_scan.scan_documents(docs).collect()}
+    seen = Counter()
+    for r in docs.collect():
+        for name, form in plain.items():
+            for m in form.finditer(r.text or ""):
+                longer = [b for b in found[r.doc_id] if b.start <= m.start() and m.end() <= b.end]
+                assert any(b.license == name or b.license and len(license_scan.TEMPLATES[b.license]) > len(license_scan.TEMPLATES[name]) for b in longer), (r.doc_id, name)
+                seen[name] += 1
+    assert sum(seen.values()) > 10 and len(found) == docs.count()
+    clashing = docs.select("*", F.lit("x").alias("blocks"), F.lit(1).alias("license")).filter("doc_id < 20")
+    assert {r.doc_id: r.blocks for r in license_scan.scan_documents(clashing).collect()} == {d: b for d, b in found.items() if d < 20}
+
+
 def test_every_licence_of_a_block():
     for gap in (" ", "\n", "\n\n", " and "):
         assert licences(f"x {MIT}{gap}{APACHE}{gap}{GPL} y") == [(MIT, "MIT"), (APACHE, "Apache-2.0"), (GPL, "GPL-3.0")]
