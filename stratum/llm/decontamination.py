@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import give_back, materialize, table
 from .shingles import batches_of, hash_words
 
 SEED_WORDS = 3
@@ -216,6 +216,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                     for a, b in batches_of(texts):
                         sums += np.bincount(items.hits(folded_words(texts[a:b])[0])[1], minlength=len(sums))
             some = np.flatnonzero(sums)
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some], pa.int64())], ["gram", "n"])
 
         counts = np.zeros(len(items.grams), np.int64)
@@ -234,6 +235,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                         rows = [(ids[a + d], items.ids[k], s, x, y) for d, k, s, x, y in leaks_in(items, texts[a:b], threshold)]
                         if rows:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word"])
+            give_back()
 
         out = out.unionAll(own.mapInArrow(find, LEAK))
     return out

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize, release, table
+from .shared import discard, give_back, materialize, release, table
 from .shingles import batches_of, mix, shingle_runs
 
 #: Counters of the sketch, and blocks in which it travels.
@@ -105,10 +105,12 @@ def _sketch(docs: DataFrame, k: int, text: str) -> tuple[np.ndarray, dict[int, i
                 texts = batch.column(0).slice(at, 1024).to_pylist()
                 for a, b in batches_of(texts):
                     runs = shingle_runs(texts[a:b], k)
-                    counts += np.bincount((np.concatenate(runs) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                    at_counter, times = np.unique((np.concatenate(runs) & np.uint64(SKETCH - 1)).astype(np.int64), return_counts=True)
+                    counts[at_counter] += times.astype(np.uint32)
                     sizes += np.bincount([min(len(r), 255) for r in runs], minlength=256)
         rows = [(b, counts[b * width : (b + 1) * width].astype(np.int64).tobytes()) for b in range(SKETCH_BLOCKS)] + [(-1, sizes.tobytes())]
         part = TaskContext.get().partitionId() % SUM_PARTS
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +213,7 @@ def _signatures(docs: DataFrame, k: int, p: int, q: int, sketch, boundary: int,
                          pa.array(prefixes, pa.list_(pa.int64())), pa.array(subsets, pa.list_(pa.binary())), pa.array(briefs, pa.binary()), pa.array(sketches, pa.binary())],
                         ["doc_id", "doc", "cls", "n", "prefix", "subsets", "brief", "parity"],
                     )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(sign, "doc_id long, doc long, cls binary, n long, prefix array<long>, subsets array<binary>, brief binary, parity binary")
 
@@ -380,6 +383,7 @@ def _members(classes: DataFrame, p: int, q: int) -> DataFrame:
             docs, sizes = docs[keep], sizes[keep]
             for key, own in zip(band_keys(values[keep], sizes, p, q), (True, False), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(sizes), pa.array(key), pa.array(np.full(len(key), own))], ["doc", "n", "key", "own"])
+        give_back()
 
     rows = prefixes.select("doc", "n", "prefix").mapInArrow(thin, "doc long, n long, key long, own boolean")
     pivots = rows.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("c"), F.max("own").alias("own")).filter("c > 1 and own").select("key", "pivot")
@@ -404,6 +408,7 @@ def _sift(dealt: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["pivot", "doc", "n"])
+        give_back()
 
     rows = dealt.join(sketches, "doc").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "doc")
     found = rows.select("pivot", "part", "doc", "n", "sketch", "side").mapInArrow(sift, "pivot long, doc long, n long").distinct()
@@ -507,6 +512,7 @@ def _exact_links(docs: DataFrame, dealt: DataFrame, k: int, p: int, q: int, text
             word, bit = bitmap_places(ids, BITMAP)
             keep = pa.array((held[word] & bit) != 0)
             yield pa.RecordBatch.from_arrays([pa.array(ids).filter(keep), batch.column(1).filter(keep)], ["doc", "text"])
+        give_back()
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(pick, "doc long, text string")
     # texts travel, not sets: compressed they are less than half as large
@@ -553,6 +559,7 @@ def _exact_links(docs: DataFrame, dealt: DataFrame, k: int, p: int, q: int, text
         out += links(held)
         if out:
             yield batch(out)
+        give_back()
 
     return dealt.select("pivot", "part", "doc", "text", "side").mapInArrow(scan, form)
 

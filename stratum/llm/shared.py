@@ -62,7 +62,7 @@ def discard(df: DataFrame) -> None:
 
 
 def give_back() -> None:
-    """Return what a reused Python worker has freed to the system, before a step that needs room of its own."""
+    """Return what a reused Python worker has freed to the system: at the end of a task, since the next may be of another kind."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
