@@ -592,8 +592,13 @@ def link_documents(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, text: st
     classes = materialize(classes, "jaccard-classes")
     release(spark)
     roots = components(_light_links(classes, p, q).unionAll(_heavy_links(docs, classes, k, p, q, text)))
-    named = classes.select("cls", "doc_id").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
-    named = named.groupBy("root").agg(F.min("doc_id").alias("component_id")).join(named.select("cls", "root"), "root").select("cls", "component_id")
+    ids = classes.select("cls", "doc_id")
+    linked = materialize(roots.join(ids, F.col("node") == F.col("cls")).select("cls", "root", "doc_id"), "jaccard-linked")
+    # both are written before they are joined: a component may hold a third of all classes, a class a third of all rows, and
+    # only joins of plain tables are split at a hot key
+    least = materialize(linked.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    named = ids.join(linked.join(least, "root").select("cls", "component_id"), "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = materialize(named, "jaccard-components")
     rows = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
     return rows.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
