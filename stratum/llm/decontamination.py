@@ -40,6 +40,8 @@ THRESHOLD = 0.5
 ALIGN_CELLS = 1 << 16
 #: One in so many of the words that an alignment must match is asked for among the seeds.
 NEED_SHARE = 4
+#: Characters of text that are looked through together: the more, the more windows an alignment takes at once.
+BATCH_CHARS = 1 << 20
 #: Seeds found that are looked through together, in whole documents.
 HITS = 1 << 20
 LEAK = "doc_id long, item_id long, score double, start_word long, end_word long"
@@ -213,7 +215,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     texts = batch.column(0).slice(at, 1024).to_pylist()
-                    for a, b in batches_of(texts):
+                    for a, b in batches_of(texts, BATCH_CHARS):
                         sums += np.bincount(items.hits(folded_words(texts[a:b])[0])[1], minlength=len(sums))
             some = np.flatnonzero(sums)
             give_back()
@@ -231,7 +233,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
                     ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    for a, b in batches_of(texts):
+                    for a, b in batches_of(texts, BATCH_CHARS):
                         rows = [(ids[a + d], items.ids[k], s, x, y) for d, k, s, x, y in leaks_in(items, texts[a:b], threshold)]
                         if rows:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word"])
