@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op3_url_filters": url_filters.ORACLE_SQL,
     "op4_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op5_warc": warc.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }

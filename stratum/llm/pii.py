@@ -176,4 +176,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(text_of(base), 256).alias("base_sha256"),
         text_of(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )

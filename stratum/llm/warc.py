@@ -4,7 +4,8 @@
 payload that occurs again as a revisit record.  ``read_archives`` reads the files back and yields one
 sorted run of captures for each.  ``merge_index`` range-partitions the runs by (URL key, timestamp,
 page) and merges what each partition gets of every run with a loser tree, which gives the captures in
-global order: the partitions, in order, hold ascending keys, and ``capture_order`` ascends through them.
+global order: the partitions, in order, hold ascending keys, and ``capture_order`` counts the captures
+through all of them from 0 without gaps.
 
 Records are text in UTF-8, so Spark's text writer writes them with the record separator as line
 separator; nothing opens a file by a local path.  A file takes as many records as make ARCHIVE_BYTES by the
@@ -27,10 +28,10 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, scratch_path, table
+from .shared import discard, materialize, scratch_path, table
 
 CRLF = "\r\n"
 SEPARATOR = CRLF * 2
@@ -68,7 +69,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, captured: Column | No
     payload = F.coalesce(F.col("html"), F.lit(""))
     size = F.octet_length(payload)
     when = captured if captured is not None else F.timestamp_seconds(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9)) + CLOCK)
-    rows = pages.select("page_id", "url", "html", F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
+    rows = pages.select("page_id", "url", "html", F.date_format(F.to_utc_timestamp(when, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
     rows = rows.withColumn("digest", F.sha1(F.encode(payload, "UTF-8")))
     repeated = rows.filter(size >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).filter("n > 1").drop("n")
     repeated = materialize(repeated, "warc-repeated")
@@ -229,15 +230,19 @@ def merge_index(runs: DataFrame, rows_per_partition: int = MERGE_ROWS) -> DataFr
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(row[8], []).append(row)
-        merged = list(LoserTree(held.values()))
-        first = TaskContext.get().partitionId() << 40
+        merged, part = list(LoserTree(held.values())), TaskContext.get().partitionId()
         for at in range(0, len(merged), 10_000):
             rows = merged[at : at + 10_000]
-            batch = _batch(rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(first + at, first + at + len(rows)), pa.int64())], [*_NAMES, "capture_order"])
+            places = [pa.array([part] * len(rows), pa.int64()), pa.array(range(at, at + len(rows)), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*_batch(rows).columns, *places], [*_NAMES, "part", "place"])
 
     dealt = runs.repartitionByRange(parts, "url_key", "ts", "page_id", "archive", "position").sortWithinPartitions("archive", "url_key", "ts", "page_id", "position")
-    return dealt.mapInArrow(run, f"{CAPTURE}, capture_order long")
+    merged = materialize(dealt.mapInArrow(run, f"{CAPTURE}, part long, place long"), "warc-index")
+    discard(runs)
+    # One row a partition, so the running sum sees rows_per_partition times fewer rows than there are captures.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = merged.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("first"))
+    return merged.join(starts, "part").select(*_NAMES, (F.col("first") + F.col("place")).alias("capture_order"))
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -248,3 +253,16 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "capture_order")
+
+
+#: For pages with an id of their own each, and URLs of host, path and query.
+ORACLE_SQL = f"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS newest,
+  lower(regexp_extract(url, '^[^/?#]*://([^/?#]*)', 1)) AS host, lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)) AS path, lower(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1)) AS args,
+  strftime(make_timestamp((page_id % 1000000000 + {CLOCK}) * 1000000), '%Y%m%d%H%M%S') AS ts FROM p),
+k AS (SELECT *, CASE WHEN url = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END
+  || CASE WHEN args = '' THEN '' ELSE '?' || args END END AS url_key FROM q)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('{ALPHABET}', CAST((CAST('0x' || substr(h, (i // 4) * 5 + 1, 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) % 32 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to,
+  url_key, ts, row_number() OVER (ORDER BY url_key, ts, page_id) - 1 AS capture_order FROM k"""

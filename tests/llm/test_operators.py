@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import time
@@ -9,11 +10,12 @@ import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratum.llm import decontamination, html_extraction, jaccard_join, license_scan, packing, pii, quality_rules, sharding, url_filters, warc
+from stratum.llm import catalog, decontamination, html_extraction, jaccard_join, license_scan, packing, pii, quality_rules, sharding, url_filters, warc
 from stratum.llm.shared import discard, materialize
 
 LONG = " ".join(f"w{k % 997}" for k in range(30_000))
@@ -346,6 +348,8 @@ def test_archives_round_trip(spark):
     assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or 0) for r in got) == want
     keys = [(r.url_key, r.ts, r.page_id) for r in sorted(got, key=lambda r: r.capture_order)]
     assert keys == sorted(keys)
+    index = warc.merge_index(warc.read_archives(spark, warc.write_archives(pages)), rows_per_partition=2)
+    assert sorted(r.capture_order for r in index.collect()) == list(range(len(rows)))
     assert {r.record_type for r in warc.archive_pages(pages, least_bytes=1 << 20).collect()} == {"response"}
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
@@ -765,8 +769,20 @@ def test_scratch_tables_go(spark, docs):
     table = materialize(docs, "t")
     assert table.count() == len(DOCS)
     path = table.inputFiles()[0].removeprefix("file://")
-    import os
-
     assert os.path.exists(path)
     discard(table)
     assert not os.path.exists(path)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_operator_matches_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    names = sorted(df.columns)
+    out = con.execute(catalog.ORACLES[name])
+    at = [[c[0] for c in out.description].index(n) for n in names]
+    assert len(at) == len(out.description)
+    assert sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr) == sorted((tuple(r[k] for k in at) for r in out.fetchall()), key=repr)
