@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .functions import compat
 from .functions import hashing as H
+from .functions import jsonedit as J
 from .operators import browse, constraints
 from .operators import effects as E
 from .operators.history import last_updates, summaries
@@ -793,6 +794,67 @@ def compat_functions(spark, d):
     )
 
 
+@query(
+    "json_edits",
+    """SELECT event_id, '{"k":' || k || ',"page":{"a":[1]}}' AS put, '{"k":' || k || '}' AS kept, '{"k":"z"}' AS replaced, '{"k":' || k || '}' AS passed, '{}' AS removed,
+       '{"k":' || k || ',"u":{"v":true}}' AS deep, '{"n":1.5}' AS patched, 'object' AS kind FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)""",
+)
+def json_edits(spark, d):
+    p = F.col("props")
+    return table(spark, d, "events").select(
+        "event_id", J.json_set(p, "$.page", {"a": [1]}).alias("put"), J.json_insert(p, "$.k", 0).alias("kept"), J.json_replace(p, "$.k", "z").alias("replaced"),
+        J.json_replace(p, "$.none", 1).alias("passed"), J.json_remove(p, "$.k").alias("removed"), J.json_set(p, "$.u.v", True).alias("deep"),
+        J.json_patch(p, {"k": None, "n": 1.5}).alias("patched"), J.json_type(p).alias("kind"),
+    )
+
+
+@query("json_members", "SELECT e.event_id, j.key, CAST(j.value AS VARCHAR) AS value, 'integer' AS type FROM events e, json_each(e.props) j")
+def json_members(spark, d):
+    return J.json_each(table(spark, d, "events"), "props", "event_id")
+
+
+@query(
+    "json_groups",
+    """SELECT n_regionkey, CAST(to_json(list(n_name ORDER BY n_name)) AS VARCHAR) AS names, '{' || string_agg('"' || n_name || '":' || n_nationkey, ',' ORDER BY n_name) || '}' AS keys
+    FROM nation GROUP BY n_regionkey""",
+)
+def json_groups(spark, d):
+    groups = table(spark, d, "nation").groupBy("n_regionkey")
+    return groups.agg(J.json_group_array(F.col("n_name")).alias("names"), J.json_group_object(F.col("n_name"), F.col("n_nationkey")).alias("keys"))
+
+
+@query(
+    "date_modifiers",
+    """SELECT o_orderkey, strftime(date_trunc('month', d) + INTERVAL 1 MONTH + to_days(CAST(day(d) - 1 AS INT)), '%Y-%m-%d') AS next_month, strftime(last_day(d), '%Y-%m-%d') AS month_end,
+       strftime(date_trunc('month', d) + INTERVAL 1 YEAR + to_days(CAST(day(d) - 1 AS INT)), '%Y-%m-%d') AS next_year, strftime(d + to_days(CAST((7 - dayofweek(d)) % 7 AS INT)), '%Y-%m-%d') AS sunday,
+       strftime(d - INTERVAL 36 HOUR, '%Y-%m-%d %H:%M') AS earlier FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS d FROM orders)""",
+)
+def date_modifiers(spark, d):
+    at = F.col("o_orderdate").cast("date")
+    shifted = {"next_month": ["+1 month"], "month_end": ["start of month", "+1 month", "-1 day"], "next_year": ["+1 year"], "sunday": ["weekday 0"]}
+    return table(spark, d, "orders").select(
+        "o_orderkey", *[F.date_format(compat.date_shift(at, *m), "yyyy-MM-dd").alias(n) for n, m in shifted.items()],
+        F.date_format(compat.date_shift(at, "-36 hours"), "yyyy-MM-dd HH:mm").alias("earlier"),
+    )
+
+
+@query(
+    "cell_literals",
+    """SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS k, chr(39) || c_name || chr(39) || chr(39) || 's' || chr(39) AS name,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN 'NULL' ELSE chr(39) || c_mktsegment || chr(39) END AS segment, CASE WHEN c_mktsegment = 'BUILDING' THEN 'null' ELSE 'text' END AS class,
+       'integer' AS key_class, 'X' || chr(39) || hex(encode(c_name)) || chr(39) AS bytes, true AS same, false AS other FROM customer""",
+)
+def cell_literals(spark, d):
+    from pyspark.sql import types as T
+
+    text, number, segment, key = T.StringType(), T.LongType(), F.nullif("c_mktsegment", F.lit("BUILDING")), F.col("c_custkey")
+    return table(spark, d, "customer").select(
+        "c_custkey", compat.quote(key, number).alias("k"), compat.quote(F.concat("c_name", F.lit("'s")), text).alias("name"), compat.quote(segment, text).alias("segment"),
+        compat.storage_class(segment, text).alias("class"), compat.storage_class(key, number).alias("key_class"), compat.quote(F.encode("c_name", "UTF-8"), T.BinaryType()).alias("bytes"),
+        compat.equal_by_affinity(F.concat(key.cast("string"), F.lit(".0")), key).alias("same"), compat.equal_by_affinity(F.col("c_name"), key).alias("other"),
+    )
+
+
 # -- delegated SELECT surface ---------------------------------------------------------------------------
 
 

@@ -126,6 +126,51 @@ def julianday(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / F.lit(86_400_000_000) + F.lit(2440587.5)
 
 
+def date_shift(c: Column, *modifiers: str) -> Column:
+    """A timestamp moved by modifiers in order: ``+3 days``, ``-1 month``, ``start of year``, ``weekday 0`` (Sunday; the day itself or the next such).
+
+    Months and years keep the day's number, so days past a month's last are counted on: January 31 and one month is early in March.
+    """
+    at = c.cast("timestamp_ntz")
+    for modifier in modifiers:
+        text = modifier.strip().lower()
+        if m := re.fullmatch(r"([+-]?\d+)\s+(second|minute|hour|day)s?", text):
+            unit = {"second": "secs", "minute": "mins", "hour": "hours", "day": "days"}[m[2]]
+            at = at + F.make_dt_interval(**{unit: F.lit(int(m[1]))})
+        elif m := re.fullmatch(r"([+-]?\d+)\s+(month|year)s?", text):
+            first = F.date_trunc("month", at).cast("timestamp_ntz")
+            at = first + F.make_ym_interval(F.lit(0), F.lit(int(m[1]) * (12 if m[2] == "year" else 1))) + (at - first)
+        elif m := re.fullmatch(r"start of (day|month|year)", text):
+            at = F.date_trunc(m[1], at).cast("timestamp_ntz")
+        elif m := re.fullmatch(r"weekday ([0-6])", text):
+            at = at + F.make_dt_interval(F.pmod(F.lit(int(m[1]) + 1) - F.dayofweek(at), F.lit(7)))
+        else:
+            raise ValueError(f"no such modifier: {modifier}")
+    return at
+
+
+def storage_class(c: Column, kind: T.DataType) -> Column:
+    """null, integer, real, text or blob."""
+    name = "text" if isinstance(kind, T.StringType) else "blob" if isinstance(kind, T.BinaryType) else "real" if isinstance(kind, T.FractionalType) else "integer"
+    return F.when(c.isNull(), "null").otherwise(name)
+
+
+def quote(c: Column, kind: T.DataType) -> Column:
+    """A cell as a literal of SQL text."""
+    if isinstance(kind, T.StringType):
+        made = F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+    elif isinstance(kind, T.BinaryType):
+        made = F.concat(F.lit("X'"), F.hex(c), F.lit("'"))
+    else:
+        made = (c.cast("long") if isinstance(kind, T.BooleanType) else c).cast("string")
+    return F.coalesce(made, F.lit("NULL"))
+
+
+def equal_by_affinity(text: Column, number: Column) -> Column:
+    """A text against a column of numbers: equal where the whole text is a number of that value."""
+    return F.when(text.isNotNull() & number.isNotNull(), F.coalesce(F.trim(text).try_cast("decimal(38,10)") == number, F.lit(False)))
+
+
 def json_valid(c: Column) -> Column:
     return F.when(c.isNotNull(), F.try_parse_json(c).isNotNull())
 
