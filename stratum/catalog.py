@@ -702,6 +702,17 @@ def partial_unique(spark, d):
     return _checked(engine, *[({"type": "insert", "table": "orders", "values": {"o_custkey": customer, "o_orderstatus": s}},) for s in ("O", "F")]).select("ok", "errors")
 
 
+@query("generated_columns", "SELECT o_orderstatus, band, count(*) AS n, round(sum(net), 2) AS net FROM (SELECT *, CASE WHEN net > 100000 THEN 'big' ELSE 'small' END AS band FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice * 0.9 AS net FROM orders)) GROUP BY 1, 2")
+def generated_columns(spark, d):
+    """Columns that are computed when read, after a change of stored ones."""
+    engine = Engine.init(spark, scratch_root(spark, "generated"))
+    columns = [{"name": n, "type": t} | ({"primaryKey": True} if n == "o_orderkey" else {}) for n, t in ORDER_TYPES.items()]
+    generated = {"net": "o_totalprice * 0.9D", "band": "CASE WHEN net > 100000 THEN 'big' ELSE 'small' END"}
+    engine.define({"orders": {"columns": columns, "pk": ["o_orderkey"], "generated": generated}}, frames={"orders": orders(spark, d)})
+    engine.apply({"baseSchemaHash": engine.schema_hash(), "message": "change", "operations": [UPDATE]})
+    return read(engine, "SELECT o_orderstatus, band, count(*) AS n, round(sum(net), 2) AS net FROM orders GROUP BY 1, 2")
+
+
 @query("canonical_digest", """SELECT r_regionkey, sha256('{"a":[1,null,true],"b":"' || r_name || '","é":2.5}') AS h FROM region""")
 def canonical_digest(spark, d):
     """Digests of values in canonical form, keys in order."""

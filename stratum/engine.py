@@ -12,6 +12,7 @@ import uuid
 from datetime import UTC, datetime
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ from .errors import EngineError
 from .functions import hashing as H
 from .operators import constraints
 from .operators import effects as E
-from .operators.work import Work, new_entry, new_marks, schema_of
+from .operators.work import Work, new_entry, new_marks, schema_of, with_generated
 from .plans.model import DESTRUCTIVE_OPERATIONS, SCHEMA_OPERATIONS, Plan, parse_plan
 from .plans.sqltext import check_identifier, fold, normalize_sql
 from .sources.storage import Storage
@@ -168,8 +169,8 @@ class Engine:
 
     def table(self, name: str, manifest: dict | None = None) -> DataFrame:
         work = Work(self.storage, manifest or self.manifest(), {})
-        table = work.name(name)
-        return self.storage.read_rows(work.manifest["tables"][table]["files"], schema_of(work.manifest["tables"][table]))
+        entry = work.manifest["tables"][work.name(name)]
+        return with_generated(self.storage.read_rows(entry["files"], schema_of(entry)), entry)
 
     def table_as_of(self, name: str, seq: int) -> DataFrame:
         return self.table(name, (self.commit_at(seq) or {"manifest": EMPTY_MANIFEST})["manifest"])
@@ -417,8 +418,9 @@ class Engine:
     def define(self, tables: dict[str, dict] | None = None, views: dict[str, str] | None = None, message: str = "define", frames: dict[str, DataFrame] | None = None) -> Commit:
         """Objects that plans can't make: foreign keys, indexes, triggers, composite keys, views, loaded tables.
 
-        ``tables``: name to entry fields (columns, pk, checks, fks, indexes, triggers, sequence);
-        ``frames``: rows to load, by table name, for new tables.
+        ``tables``: name to entry fields (columns, pk, checks, fks, indexes, triggers, sequence, generated: name to
+        expression of a column that is computed when read, never stored); ``frames``: rows to load, by table name,
+        for new tables.
         """
         manifest, now = self.manifest(), self._clock()
         work = self._work(manifest, now)
@@ -431,6 +433,7 @@ class Engine:
             pk = fields.get("pk") or [c["name"] for c in columns if c.get("primaryKey")]
             more = {k: v for k, v in fields.items() if k not in ("columns", "pk")}
             work.manifest["tables"][name] = (old or new_entry(columns, pk)) | {"columns": columns, "pk": pk} | more
+            self._check_generated(name, work.manifest["tables"][name])
             if frames and name in frames:
                 rows = frames[name].select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema_of(work.manifest["tables"][name])])
                 work.rows[name] = rows.select("*", *new_marks())
@@ -439,6 +442,17 @@ class Engine:
         operations = [{"type": "define", "tables": sorted(tables or {}), "views": sorted(views or {})}]
         return self._publish(work, "define", message, operations, H.sha256_hex(operations), now)
 
+    def _check_generated(self, table: str, entry: dict) -> None:
+        taken = {fold(c["name"]) for c in entry["columns"]}
+        for column in entry.get("generated", {}):
+            if fold(check_identifier(column, "column")) in taken:
+                raise EngineError("INVALID_OPERATION", f"{table} has two columns {column}")
+            taken.add(fold(column))
+        try:
+            with_generated(self.spark.createDataFrame([], schema_of(entry)), entry).schema
+        except AnalysisException as e:
+            raise EngineError("INVALID_OPERATION", f"a generated column of {table}: {str(e).strip().splitlines()[0]}") from e
+
     # -- N20, N22: effects ----------------------------------------------------------------------------
 
     def _apply_effects(self, work: Work, rows: DataFrame, schema_effects: list[dict], code: str) -> list[dict]:

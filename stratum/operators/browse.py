@@ -9,7 +9,7 @@ from ..engine import Engine, describe, schema_hash
 from ..errors import EngineError
 from ..functions.compat import contains_text, normalize_cell
 from .history import last_updates, page_number, page_size
-from .work import resolve, schema_of
+from .work import resolve
 
 
 def unique_columns(entry: dict) -> set[str]:
@@ -19,12 +19,19 @@ def unique_columns(entry: dict) -> set[str]:
     return out | (set(entry["pk"]) if len(entry["pk"]) == 1 else set())
 
 
+def is_visible(hidden: int | None) -> bool:
+    """Ordinary and generated columns (2 virtual, 3 stored) are shown, others that carry a mark aren't."""
+    return (hidden or 0) in (0, 2, 3)
+
+
 def columns_of(entry: dict) -> list[dict]:
+    """What is shown: stored columns but hidden ones, then generated columns."""
     unique = unique_columns(entry)
-    return [
+    stored = [
         {"name": c["name"], "type": c["type"], "notNull": bool(c.get("notNull")), "primaryKey": c["name"] in entry["pk"], "unique": c["name"] in unique, "defaultValue": c.get("default")}
-        for c in entry["columns"] if not c.get("hidden")
+        for c in entry["columns"] if is_visible(c.get("hidden"))
     ]
+    return stored + [{"name": g, "type": "", "notNull": False, "primaryKey": False, "unique": False, "defaultValue": None} for g in entry.get("generated", {})]
 
 
 def matching(rows: DataFrame, filters: dict[str, str]) -> DataFrame:
@@ -59,7 +66,7 @@ def query_table(engine: Engine, table: str, page: int | None = None, limit: int
     total = rows.count() if wanted else entry["lanes"][-1]
     pages = max(1, -(-total // size))
     at = min(page_number(page), pages)
-    kinds = {f.name: f.dataType for f in schema_of(entry)}
+    kinds = {f.name: f.dataType for f in rows.schema}
     shown = ordered(rows, pk, sort_by, sort_dir == "desc").offset((at - 1) * size).limit(size).select(*[normalize_cell(F.col(f"`{c['name']}`"), kinds[c["name"]]).alias(c["name"]) for c in columns])
     return {
         "table": name, "page": at, "pageSize": size, "totalRows": total, "totalPages": pages, "sortBy": sort_by, "sortDir": "desc" if sort_dir == "desc" else "asc",

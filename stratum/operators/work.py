@@ -500,6 +500,18 @@ class Work:
         return not resolves(True)
 
 
+def with_generated(rows: DataFrame, entry: dict) -> DataFrame:
+    """Stored rows and the table's generated columns after them, which may use one another but not in a circle."""
+    left = dict(entry.get("generated", {}))
+    stored = rows.columns
+    while left:
+        ready = [g for g, sql in left.items() if not any(mentions(sql, other) for other in left)]
+        if not ready:
+            raise EngineError("INVALID_OPERATION", f"generated columns use one another in a circle: {', '.join(sorted(left))}")
+        rows = rows.withColumns({g: F.expr(left.pop(g)) for g in ready})
+    return rows.select(*[f"`{c}`" for c in [*stored, *entry.get("generated", {})]])
+
+
 def new_entry(columns: list[dict], pk: list[str], **more: Any) -> dict:
     base = {"columns": columns, "pk": pk, "checks": [], "fks": [], "indexes": [], "triggers": [], "generated": {}, "sequence": None, "files": [], "lanes": [0, 0, 0, 0, 0]}
     return base | more

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from stratum.engine import Engine
 from stratum.errors import EngineError
@@ -273,7 +274,6 @@ def test_parents_come_first():
 
 @pytest.mark.parametrize("rows, task_effects", [(150, 10), (150_000, 100_000)])
 def test_commits_of_any_size_replicate(spark, tmp_path, monkeypatch, rows, task_effects):
-    from pyspark.sql import functions as F
 
     from stratum.engine import Engine
     from stratum.operators import effects as E
@@ -398,3 +398,20 @@ def test_a_trigger_does_not_fire_within_itself(engine, do, spark):
     bank(engine, spark, ("audit", "CREATE TRIGGER s AFTER INSERT ON audit BEGIN INSERT INTO audit (id, note) VALUES (NEW.id + 100, 'copy; of -- ' || NEW.note); END"))
     do({"type": "insert", "table": "audit", "values": {"note": "x"}}, {"type": "insert", "table": "audit", "values": {"note": "y"}})
     assert rows_of(engine, "audit") == [(1, "x"), (2, "y"), (101, "copy; of -- x"), (102, "copy; of -- y")]
+
+
+def test_generated_and_hidden_columns(engine, do, spark):
+    columns = [ID, {"name": "price", "type": "REAL"}, {"name": "secret", "type": "TEXT", "hidden": 1}]
+    entry = {"columns": columns, "pk": ["id"], "generated": {"big": "net > 10", "net": "price * 0.5"}}
+    engine.define({"sales": entry}, frames={"sales": spark.createDataFrame([(1, 10.0, "a"), (2, 30.0, "b")], "id long, price double, secret string")})
+    do(update("sales", {"price": 50.0}, id=1), insert("sales", id=3, price=None))
+    assert sorted((r.id, r.net, r.big) for r in engine.table("sales").select("id", F.coalesce("net", F.lit(0.0)).alias("net"), "big").collect()) == [(1, 25.0, True), (2, 15.0, True), (3, 0.0, None)]
+    shown = browse.query_table(engine, "sales", sort_by="net", sort_dir="desc", filters={"big": "true"})
+    assert [sorted(r.items()) for r in shown["rows"]] == [[("big", True), ("id", 1), ("net", 25.0), ("price", 50.0)], [("big", True), ("id", 2), ("net", 15.0), ("price", 30.0)]]
+    assert read(engine, "SELECT sum(net) AS s FROM sales").collect()[0].s == 40.0
+    assert engine.verify()["ok"]
+    fails("INVALID_OPERATION", do, insert("sales", id=4, net=1.0))
+    for generated in ({"price": "1"}, {"x": "nowhere + 1"}, {"x": "y", "y": "x"}):
+        fails("INVALID_OPERATION", engine.define, {"sales": {"generated": generated}})
+    with pytest.raises(EngineError):
+        do({"type": "drop_column", "table": "sales", "column": "price"})
