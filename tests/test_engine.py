@@ -274,7 +274,6 @@ def test_parents_come_first():
 
 @pytest.mark.parametrize("rows, task_effects", [(150, 10), (150_000, 100_000)])
 def test_commits_of_any_size_replicate(spark, tmp_path, monkeypatch, rows, task_effects):
-
     from stratum.engine import Engine
     from stratum.operators import effects as E
     from stratum.sources.replica import Replica
