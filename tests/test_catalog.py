@@ -62,3 +62,19 @@ def test_query_over_orders_that_hold_the_keys_of_the_copies(spark, crowded, name
     cols = [c[0] for c in out.description]
     assert sorted(cols) == names
     assert got == sorted((tuple(norm(r[cols.index(c)]) for c in names) for r in out.fetchall()), key=repr)
+
+
+def test_ranks_within_a_few_parts(spark, tmp_path, monkeypatch):
+    """As by windows over the parts, which hold a part in one task; nulls and ties among them, over several ranges."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from stratum.operators import effects, ranks
+
+    monkeypatch.setattr(effects, "TASK_EFFECTS", 40)
+    rows = spark.range(300).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("p"), F.when(F.col("id") % 5 > 0, F.col("id") * 37 % 11).alias("v")).repartition(5)
+    got = ranks.row_numbers(ranks.ranks(rows, ["p"], ["v"], "r", "dr"), ["p"], [F.col("v").desc(), F.col("id").asc()], "rn", str(tmp_path / "ranked"))
+    w = Window.partitionBy("p")
+    want = rows.select("*", F.rank().over(w.orderBy("v")).alias("r"), F.dense_rank().over(w.orderBy("v")).alias("dr"), F.row_number().over(w.orderBy(F.col("v").desc(), "id")).alias("rn"))
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(got.collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
