@@ -4,14 +4,17 @@ Texts with a licence cue are read as one run of words, whatever their lines, and
 wherever one of its first words stands.  It holds where at most MAX_MISSING of its words are missing and
 MAX_ADDED are added within it, years and names after a copyright mark aside; what differs is reported.  The
 words of such a span are compressed alone and with the template as raw Zstandard dictionary, and the share
-saved has to reach LEAST_SAVING.  Of spans that overlap the one stays that agrees in most words, differing
-ones taken off; all others are reported, each with its own place.  SPDX tags name their licences themselves:
+saved has to reach LEAST_SAVING.  A template's own spans that overlap are told apart by their wording: the one
+stays that agrees in most words, differing ones taken off.  Which template a span is of is for compression to
+say: of spans that overlap the one stays whose template saves most bytes.  All others are reported, each with
+its own place.  SPDX tags name their licences themselves:
 each identifier is a block as it is written, with no saving and no differences.
 
 Defined results: a null or empty text has no blocks, nor has a text without a cue (one parted by a line
 break counts); a block reaches from a copyright mark before the notice on its line to the punctuation after
 it; the rest of a line in which a cue stands outside all notices is reported as a block without a licence;
-ties go to fewer differences, to the greater saving, to the longer template, then to its name; repeated rows
+ties go to most words in common, differing ones taken off, to fewer differences, to the greater share saved, to
+the longer template, then to its name; repeated rows
 are scanned one by one; an empty table gives an empty table; extra columns are left out.
 """
 
@@ -125,10 +128,16 @@ def _compressors() -> dict:
 
 
 @lru_cache(maxsize=4096)
+def saved(span: str, name: str) -> tuple[int, float]:
+    """Bytes that the template saves of the span's own compressed size, and their share in it."""
+    made, raw = _compressors(), span.encode()
+    alone, given = len(made[""].compress(raw)), len(made[name].compress(raw))
+    return alone - given, 1 - given / alone
+
+
 def saving(span: str, name: str) -> float:
     """Share of the span's own compressed size that the template saves."""
-    made, raw = _compressors(), span.encode()
-    return 1 - len(made[name].compress(raw)) / len(made[""].compress(raw))
+    return saved(span, name)[1]
 
 
 def fit(name: str, found: list[str]) -> tuple[int, int, list[str]] | None:
@@ -190,18 +199,27 @@ def notices(text: str) -> list[tuple[int, int, str, float, str]]:
                 got = name in can and fit(name, plain[k : k + len(_words[name]) + _added[name]])
                 if got:
                     n, same, said = got
-                    share = saving(" ".join(plain[k : k + n]), name)
+                    less, share = saved(" ".join(plain[k : k + n]), name)
                     if share >= LEAST_SAVING:
                         apart = len(_words[name]) + n - 2 * same
-                        held.append((apart - same, len(said), -share, -len(_words[name]), name, run[k][1], run[k + n - 1][2], "; ".join(said)))
+                        held.append((apart - same, len(said), -share, -len(_words[name]), name, run[k][1], run[k + n - 1][2], "; ".join(said), less))
+    places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    best = [h for h in sorted(held) if _placed(places[h[4]], (h[5], h[6]))]  # of each template
     out = [b for m in _SPDX.finditer(text) for b in _tagged(m)]
-    for _, _, share, _, name, start, end, said in sorted(held):
-        k = bisect(out, (start,))
-        if (not k or out[k - 1][1] <= start) and (k == len(out) or end <= out[k][0]):
-            out.insert(k, (start, end, name, -share, said))
+    for _, _, share, _, name, start, end, said, _ in sorted(best, key=lambda h: (-h[8], *h)):
+        _placed(out, (start, end, name, -share, said))
     return out
 
 
+def _placed(out: list, found: tuple) -> bool:
+    """Put ``found`` (start, end, ..) in its place in ``out``, unless it overlaps one that is there."""
+    k = bisect(out, (found[0],))
+    free = (not k or out[k - 1][1] <= found[0]) and (k == len(out) or found[1] <= out[k][0])
+    if free:
+        out.insert(k, found)
+    return free
+
+
 def _tagged(tag: re.Match) -> list[tuple[int, int, str, float, str]]:
     """The licences that an SPDX tag names; an exception after WITH stays with its licence."""
     out: list[tuple[int, int, str, float, str]] = []

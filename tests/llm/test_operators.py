@@ -762,6 +762,17 @@ def test_notices_as_published():
     assert licences("x SPDX-License-Identifier: MIT. And more") == [("SPDX-License-Identifier: MIT.", "MIT")]
 
 
+def test_compression_tells_which_template_a_span_is_of():
+    """Of the templates that hold for an edited notice, the one whose dictionary saves most bytes is reported."""
+    text = "This program is free software; you 2 redistribute it and/or modify it under the software: of the GNU affero General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your any later version."
+    found = license_scan.words(text)
+    held = {k: got for k in license_scan.TEMPLATES if (got := license_scan.fit(k, found))}
+    less = {k: license_scan.saved(" ".join(found[: got[0]]), k)[0] for k, got in held.items()}
+    agree = {k: 3 * got[1] - got[0] - len(license_scan.words(license_scan.TEMPLATES[k])) for k, got in held.items()}
+    assert len(held) > 1 and max(less, key=less.get) != max(agree, key=agree.get)  # wording alone says another
+    assert [b[2] for b in license_scan.scan(text)] == [max(less, key=less.get)]
+
+
 # -- shared ---------------------------------------------------------------------------------------------
 
 
