@@ -64,6 +64,21 @@ def test_query_over_orders_that_hold_the_keys_of_the_copies(spark, crowded, name
     assert got == sorted((tuple(norm(r[cols.index(c)]) for c in names) for r in out.fetchall()), key=repr)
 
 
+FAR = {"behind a gap": "CASE WHEN o_orderkey < 60 THEN o_orderkey ELSE o_orderkey + 10000000 END", "nothing to copy": "o_orderkey + 1000000", "just behind the copied": "o_orderkey + 999990"}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("shape", FAR)
+def test_insertions_where_orders_beyond_a_million_leave_the_keys_of_the_copies_free(spark, tmp_path, shape):
+    """The SQL shows V2's rows from a million on, whether a copy meets one of them or not."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE ({FAR[shape]} AS o_orderkey) FROM '{DATA}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got = catalog.QUERIES["plan_insert"](spark, str(tmp_path)).orderBy("o_orderkey", "o_orderstatus").collect()
+    want = con.execute(f"SELECT * FROM ({catalog.ORACLES['plan_insert']}) ORDER BY o_orderkey, o_orderstatus").fetchall()
+    assert list(map(tuple, got)) == want
+
+
 def test_ranks_within_a_few_parts(spark, tmp_path, monkeypatch):
     """As by windows over the parts, which hold a part in one task; nulls and ties among them, over several ranges."""
     from pyspark.sql import Window
