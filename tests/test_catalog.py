@@ -64,6 +64,19 @@ def test_query_over_orders_that_hold_the_keys_of_the_copies(spark, crowded, name
     assert got == sorted((tuple(norm(r[cols.index(c)]) for c in names) for r in out.fetchall()), key=repr)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_places_of_effects_over_several_ranges_where_copies_are_paired_anew(spark, crowded, tmp_path, monkeypatch):
+    from stratum.operators import effects
+
+    monkeypatch.setattr(effects, "TASK_EFFECTS", 40)
+    con = duckdb.connect()
+    con.execute(f"COPY (FROM '{crowded}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got = catalog.QUERIES["effects_ordered"](spark, str(tmp_path)).orderBy("effect_index").collect()
+    want = con.execute(f"SELECT o_orderkey, op_kind, effect_index FROM ({catalog.ORACLES['effects_ordered']}) ORDER BY effect_index").fetchall()
+    assert len(want) > 10 * 40 and list(map(tuple, got)) == want
+
+
 FAR = {"behind a gap": "CASE WHEN o_orderkey < 60 THEN o_orderkey ELSE o_orderkey + 10000000 END", "nothing to copy": "o_orderkey + 1000000", "just behind the copied": "o_orderkey + 999990"}
 
 
